@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, id_files, language, library_ids, packing, quality, simhash
+from . import bpe, id_files, language, library_ids, packing, quality, secrets, simhash, sketches, surrogates
 from .labelled import remainder
 
 
@@ -20,6 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.fit_forest(secrets.labelled_findings(spark))
+    return secrets.scan(read(spark, sf_dir, "documents"), model, at_least=0.5)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     ids = bpe.encode(read(spark, sf_dir, "documents"), path, packed=True)
@@ -27,6 +32,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, path, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(read(spark, sf_dir, "documents"), key="a key of the caller")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_edits(read(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
     model = language.fit_languages(documents.where("not held_out"))
@@ -63,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_language, op6_quality_rules, op7_simhash, op8_id_files, op9_packing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_surrogates, op4_fingerprints, op5_language, op6_quality_rules, op7_simhash, op8_id_files, op9_packing, op10_quality)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
