@@ -1,10 +1,9 @@
-"""All registered queries with their SQL."""
+"""All registered queries of the library with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import series_queries, table_queries, text_queries  # noqa: F401  they register themselves
+from .base import ORACLE_SQL, QUERIES
+from .table_queries import flagship
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
