@@ -57,7 +57,7 @@ def test_encode_awkward_rows_and_empty_table(spark):
     arrays = bpe.encode(rows, BYTES).collect()
     assert len(arrays) == rows.count() and all(r.ids is not None for r in arrays)
     packed = bpe.encode(rows, BYTES, packed=True)
-    back = sorted((r.doc_id or -1, r.text) for r in bpe.decode(packed, BYTES).collect())
+    back = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in bpe.decode(packed, BYTES).collect())
     assert back == sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in rows.collect())
     assert bpe.encode(empty(spark), BYTES).count() == 0
 
