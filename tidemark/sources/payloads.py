@@ -58,10 +58,10 @@ def fixed_text(spark: SparkSession, path: str, header: list[str], schema: str) -
 
 
 def delimited(spark: SparkSession, path: str, schema: str, separator: str = ",", header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``schema`` from delimited text (also gzipped), and the lines that do not fit it."""
+    """Rows of ``schema`` from delimited text (also gzipped), and the lines that do not fit it with what could be read of them."""
     read = spark.read.option("sep", separator).option("header", str(header)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
     df = read.schema(f"{schema}, _bad string").csv(path)
-    return df.where(F.col("_bad").isNull()).drop("_bad"), df.where(F.col("_bad").isNotNull()).select("_bad")
+    return df.where(F.col("_bad").isNull()).drop("_bad"), df.where(F.col("_bad").isNotNull())
 
 
 def feed_items(xml: Column) -> Column:
