@@ -103,7 +103,7 @@ def test_clashing_stand_ins_are_drawn_again(spark):
 
 
 def plain_digests(text):
-    return set(re.findall(r"[^\n]{0,127}[^\s](?=\s|$)|[^\n]{128}", text or ""))
+    return set(re.findall(r"[^\n]{0,159}[^\s](?=\s|$)|[^\n]{160}", text or ""))
 
 
 def test_op4(spark, sf_dir, texts):
@@ -126,8 +126,11 @@ def test_op4(spark, sf_dir, texts):
 
 def test_peeling_recovers_or_owns_up(spark):
     keys = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda i: F.xxhash64(i))
-    few = sketches.peel(sketches.subtract(sketches.sketch(keys(1, 40)), sketches.sketch(keys(4, 42))))
-    many = sketches.peel(sketches.subtract(sketches.sketch(keys(1, 40)), sketches.sketch(keys(41, 80))))
-    larger = sketches.difference(keys(1, 300), keys(301, 650), sketches.sketch(keys(1, 300)), sketches.sketch(keys(301, 650)))
-    row = spark.range(1).select(F.array_sort(few), many, F.array_sort(F.array_union(keys(1, 3), keys(41, 42))), larger).first()
-    assert row[0] == row[2] and row[1] is None and row[3] == 650
+    draw = lambda a, b, table=sketches.TABLE: sketches.sketch(sketches.placed(keys(a, b), table), table)
+    few = sketches.peel(sketches.subtract(draw(1, 40), draw(4, 42)))
+    many = sketches.peel(sketches.subtract(draw(1, 40), draw(41, 80)))
+    larger = sketches.peel(sketches.subtract(draw(1, 40, 64), draw(41, 80, 64)), 64)
+    a, b = sketches.placed(keys(1, 300)), sketches.placed(keys(301, 650))
+    dealt = sketches.difference(a, b, draw(1, 300), draw(301, 650), sketches.roots(a, b))
+    row = spark.range(1).select(F.array_sort(few), many, F.array_sort(F.array_union(keys(1, 3), keys(41, 42))), F.array_size(larger), dealt).first()
+    assert row[0] == row[2] and row[1] is None and row[3] == 80 and row[4] == 650

@@ -75,3 +75,28 @@ def test_awkward_rows(spark):
     blank = {r.component_id for r in got if r.simhash == 0}
     assert blank == {0}
     assert simhash.near_duplicate_groups(empty(spark)).count() == 0
+
+
+def test_near_copies_are_measured(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 11)))
+    base = [word() for _ in range(400)]
+    changed = lambda n, at=base: [word() if i in rnd.sample(range(len(at)), n) else w for i, w in enumerate(at)]
+    replaced = list(base)
+    replaced[200] = "somethingelse"
+    texts = [" ".join(base), " ".join(base), " ".join(replaced), " ".join(base[:200] + [word() for _ in range(200)]), " ".join(word() for _ in range(300)), None, "", "x", "x", " ".join(changed(0))]
+    rows = documents(spark, texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(rows).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7, 9: 0}
+    assert simhash.near_copies(empty(spark)).count() == 0
+
+
+def test_near_copies_of_the_table(spark, sf_dir, texts):
+    got = simhash.near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas().set_index("doc_id").component_id
+    sets = {d: set(simhash.shingle_set((t or "").encode(), 5)) for d, t in zip(texts.doc_id, texts.text, strict=True)}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    linked = [(a, b) for a, b in alike if got[a] == got[b]]
+    assert len(linked) >= 0.6 * len(alike)
+    near = {d: {e for p in alike for e in p if d in p} | {d} for d in sets}
+    for d in sets:  # no class without an alike member
+        assert got[d] == d or any(got[e] == got[d] for e in near[d] - {d})

@@ -64,10 +64,12 @@ class BytePairs:
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError(f"added tokens with options: {path}")
-        self.bytes = {i: bytes(of[c] for c in s) for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
+        known = {i: bytes(of[c] for c in s) for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
+        self.table = [known.get(i, b"") for i in range(max(known) + 1)]
         self.pieces = regex.compile(PATTERN).findall
         self.split_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.words = WordMemory(lambda w: self.encode_words([w])[0])
+        self.parts = WordMemory(lambda p: self.merge_all([p])[0], 150_000)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, _NEVER for those that no merge joins, by binary search over the sorted pair keys."""
@@ -77,20 +79,23 @@ class BytePairs:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], _NEVER)
 
+    def ranks_in(self, flat: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at the places ``at``, _NEVER at the end of a piece."""
+        found = np.full(len(at), _NEVER)
+        inner = np.flatnonzero(owner[np.minimum(at + 1, len(flat) - 1)] == owner[at]) if len(flat) else at
+        inner = inner[at[inner] + 1 < len(flat)]
+        found[inner] = self.rank(flat[at[inner]], flat[at[inner] + 1])
+        return found
+
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of each piece: rounds over one flat array of the symbols of all pieces. In each round every piece joins all places of its lowest-ranked pair, from the left; pieces without a pair leave the array."""
         flat = self.first[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         owner = np.repeat(np.arange(len(pieces)), sizes)
+        rank = self.ranks_in(flat, owner, np.arange(len(flat)))
         left_owner, left_ids = [], []
         while len(flat):
-            same = np.empty(len(flat), dtype=bool)
-            same[:-1] = owner[1:] == owner[:-1]
-            same[-1] = False
-            rank = np.full(len(flat), _NEVER)
-            inner = np.flatnonzero(same)
-            rank[inner] = self.rank(flat[inner], flat[inner + 1])
-            starts = np.flatnonzero(np.concatenate(([True], ~same[:-1])))
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(flat))))
             going = lowest != _NEVER
             left_owner.append(owner[~going])
@@ -100,10 +105,13 @@ class BytePairs:
             new_run = np.concatenate(([True], np.diff(at) > 1))[: len(at)]
             run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0)) if len(at) else at
             at = at[(np.arange(len(at)) - run_start) % 2 == 0]
-            flat = flat.copy()
             flat[at] = self.merged[rank[at]]
             going[at + 1] = False
-            flat, owner = flat[going], owner[going]
+            joined = np.cumsum(going)[at] - 1
+            flat, owner, rank = flat[going], owner[going], rank[going]
+            # only pairs beside a joined symbol are new
+            near = np.concatenate((joined, joined[joined > 0] - 1))
+            rank[near] = self.ranks_in(flat, owner, near)
         owners = np.concatenate(left_owner) if left_owner else np.zeros(0, dtype=np.int64)
         ids = np.concatenate(left_ids)[np.argsort(owners, kind="stable")] if left_ids else owners
         packed = ids.astype("<u4").tobytes()
@@ -138,32 +146,43 @@ class BytePairs:
             offer(i)
         return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
 
+    def cut(self, word: bytes) -> list[bytes]:
+        """The pattern's pieces of a word with the white space before it."""
+        text = word.decode("utf-8", "replace")
+        core = text[1:] if text[:1] == " " else text
+        if core.isalpha():
+            return [word]
+        if core[-1:] in ",.!?;:" and core[:-1].isalpha():
+            return [word[:-1], word[-1:]]
+        return [p.encode() for p in self.pieces(text)]
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces: short ones in flat arrays of FLAT_BYTES, long ones each by itself."""
+        ids: dict[int, bytes] = {}
+        held, size = [], 0
+        for k, p in enumerate(pieces):
+            if len(p) > LONG_WORD:
+                ids[k] = self.merge_long(p)
+                continue
+            held.append(k)
+            size += len(p)
+            if size >= FLAT_BYTES:
+                ids.update(zip(held, self.merge([pieces[i] for i in held]), strict=True))
+                held, size = [], 0
+        ids.update(zip(held, self.merge([pieces[i] for i in held]), strict=True))
+        return [ids[k] for k in range(len(pieces))]
+
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Packed ids (unsigned 32 bits, little endian) of words that the pattern cuts on their own."""
-        parts = [[p.encode() for p in self.pieces(w.decode("utf-8", "replace"))] for w in words]
-        flat = list(chain.from_iterable(parts))
-        ids: list = [None] * len(flat)
-        short = [k for k, p in enumerate(flat) if len(p) <= LONG_WORD]
-        at = 0
-        while at < len(short):
-            stop, size = at, 0
-            while stop < len(short) and size < FLAT_BYTES:
-                size += len(flat[short[stop]])
-                stop += 1
-            for k, x in zip(short[at:stop], self.merge([flat[k] for k in short[at:stop]]), strict=True):
-                ids[k] = x
-            at = stop
-        for k, p in enumerate(flat):
-            if ids[k] is None:
-                ids[k] = self.merge_long(p)
-        out, at = [], 0
-        for p in parts:
-            out.append(b"".join(ids[at : at + len(p)]))
-            at += len(p)
-        return out
+        parts = [self.cut(w) for w in words]
+        self.parts.learn({p for c in parts for p in c}, self.merge_all)
+        get = self.parts.__getitem__
+        done = [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in parts]
+        self.parts.turn()
+        return done
 
     def split(self, text: bytes) -> list[bytes]:
-        if _RARE_WS.search(text):
+        if (b"\x0b" in text or b"\x0c" in text) if text.isascii() else _RARE_WS.search(text):
             return [w.encode() for w in _ANY_WORDS.findall(text.decode("utf-8", "replace"))]
         return _WORDS.findall(text)
 
@@ -173,20 +192,21 @@ class BytePairs:
         for text in texts:
             cut = self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else [text]
             sections.append([self.special.get(s, None) if k % 2 else self.split(s) for k, s in enumerate(cut)])
-        new = self.words.unknown({w for t in sections for s in t if isinstance(s, list) for w in s})
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            self.words[w] = ids
+        self.words.learn({w for t in sections for s in t if isinstance(s, list) for w in s}, self.encode_words)
         get = self.words.__getitem__
         done = [b"".join(b"".join(map(get, s)) if isinstance(s, list) else s.to_bytes(4, "little") for s in t) for t in sections]
-        if len(self.words) > self.words.entries:
-            self.words.before = {w: x for w, x in self.words.items() if len(w) <= 48}
-            self.words.clear()
+        self.words.turn()
         return done
 
     def decode_batch(self, packed: list[bytes]) -> list[str]:
         """Texts of packed ids, special tokens included; unknown ids are left out and bad UTF-8 replaced."""
-        get = self.bytes.get
-        return [b"".join([get(i, b"") for i in np.frombuffer(x, dtype="<u4").tolist()]).decode("utf-8", "replace") for x in packed]
+        get, out = self.table.__getitem__, []
+        for x in packed:
+            ids = np.frombuffer(x, dtype="<u4")
+            if len(ids) and ids.max() >= len(self.table):
+                ids = ids[ids < len(self.table)]
+            out.append(b"".join(map(get, ids.tolist())).decode("utf-8", "replace"))
+        return out
 
 
 @functools.cache
@@ -212,3 +232,13 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns ``keep`` and the ``text`` of packed ids (see ``encode``); null ids give the empty text."""
     return map_texts(df, lambda: lambda ids: [loaded(path).decode_batch(ids)], [("text", T.StringType(), pa.string())], ids_col, (id_col, *keep))
+
+
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, the packed ``ids`` of every whole text and the ``decoded`` text of these ids, in one pass: what ``decode`` of ``encode`` gives."""
+
+    def kernel(texts: list[bytes]) -> list:
+        ids = loaded(path).encode_batch(texts)
+        return [ids, loaded(path).decode_batch(ids)]
+
+    return map_texts(df, lambda: kernel, [("ids", T.BinaryType(), pa.binary()), ("decoded", T.StringType(), pa.string())], text_col, (id_col,))

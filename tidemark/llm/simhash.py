@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import map_texts
+from .batches import map_texts, quoted
 from .components import smallest_reachable
 from .scratch import write_table
 
 BITS = 64
+#: Of candidates for near copies: a word of this many bytes counts as rare, and texts with fewer rare words use all.
+RARE_BYTES, LEAST_RARE = 8, 5
+#: Independent fingerprints for candidates.
+SEEDS = (42, 43, 44, 45)
 #: Shingle hashes unpacked into bits at once.
 VOTES_AT_ONCE = 1 << 16
 
@@ -41,6 +45,30 @@ def fingerprint_of(text: bytes, width: int, seed: int) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+def rare_fingerprint(words: list[bytes], seed: int) -> int:
+    """SimHash of single words, rare ones only: common words make texts of one language alike, and a changed word changes a shingle for each of its words."""
+    import xxhash
+
+    rare = [w for w in words if len(w) >= RARE_BYTES]
+    words = rare if len(rare) >= LEAST_RARE else words
+    votes = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(words), VOTES_AT_ONCE):
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words[at : at + VOTES_AT_ONCE]], dtype=">u8")
+        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(words)).tobytes(), "big")
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Distinct hashes of the shingles of one text, in order."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))}
+    return np.sort(np.fromiter(hashes, dtype=np.uint64, count=len(hashes)).view(np.int64))
+
+
 def _kernel(width: int, seed: int):
     def run(texts: list[bytes]) -> list:
         found = np.array([fingerprint_of(x, width, seed) for x in texts], dtype=np.uint64)
@@ -104,3 +132,38 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = smallest_reachable(links(values.where("rep is not null")))
     classes = values.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("simhash", F.coalesce("root", "rep").alias("component_id"))
     return marks.join(classes, "simhash").select(F.col("__id").alias(id_col), "simhash", "component_id")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """``id_col`` and ``component_id``, the smallest id of the copies and near copies of each text: those whose sets of shingles of ``width`` words have a Jaccard likeness of ``at_least``.
+
+    Equal texts are one text. Candidates are texts whose fingerprints of rare words differ in at most 2 bits for one of ``seeds``, found by ``links``; every candidate is then measured on its whole shingle sets. What is joined is thus always alike; near copies that no fingerprint brings together are missed. Texts without words, and null ones, are copies of texts with the same words only. Repeated rows keep their number; rows with a null id are in no class. An empty table gives an empty result.
+    """
+
+    def kernel(texts: list[bytes]) -> list:
+        words = [t.lower().split() for t in texts]
+        return [np.array([[rare_fingerprint(w, s) for s in seeds] for w in words], dtype=np.uint64).reshape(len(words), len(seeds)).view(np.int64).tolist(), [bool(w) for w in words]]
+
+    fields = [("__marks", T.ArrayType(T.LongType()), pa.list_(pa.int64())), ("__words", T.BooleanType(), pa.bool_())]
+    named = df.select(F.col(quoted(id_col)).alias("__id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("__text")).where("__id is not null")
+    marks = write_table(map_texts(named.withColumn("__copy", F.md5("__text")), lambda: kernel, fields, "__text", ("__id", "__copy")), "marks")
+    copies = write_table(marks.groupBy("__copy").agg(F.min("__id").alias("rep"), F.min("__marks").alias("marks"), F.min("__words").alias("words")), "copies")
+    found = []
+    for k in range(len(seeds)):
+        each = copies.where("words").select("rep", F.get("marks", F.lit(k)).alias("simhash"))
+        values = write_table(each.groupBy("simhash").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")), "values")
+        found.append(links(values.select("simhash", F.col("first").alias("rep"))))
+        shared = each.join(values.where("n > 1"), "simhash").where("rep <> first")
+        found.append(shared.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = write_table(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
+    sets = write_table(map_texts(named.join(wanted, "__id"), lambda: lambda texts: [[shingle_set(t, width) for t in texts]], [("shingles", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], "__text", ("__id",)).dropDuplicates(["__id"]), "shingles")
+    side = lambda name: sets.select(F.col("__id").alias(name), F.col("shingles").alias(f"of_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
+    alike = both.where(F.col("shared") >= at_least * (F.size("of_a") + F.size("of_b") - F.col("shared"))).select("a", "b")
+    roots = smallest_reachable(alike)
+    classes = copies.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("__copy", F.coalesce("root", "rep").alias("component_id"))
+    return marks.select("__id", "__copy").join(classes, "__copy").select(F.col("__id").alias(id_col), "component_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .batches import quoted
 
 #: Longest paragraph cell in characters; longer lines are wrapped at white space.
-WIDTH = 128
+WIDTH = 160
 #: Cells of each of the three tables of a sketch, as first tried and in the retries.
 TABLE, RETRIES = 8, (8, 32, 128)
 #: Digests of both versions that share a bucket in a retry, about.
@@ -24,26 +24,27 @@ def digests(text: Column, width: int = WIDTH) -> Column:
     return F.coalesce(F.array_distinct(F.transform(cells, lambda c: F.xxhash64(c))), F.array().cast("array<bigint>"))
 
 
-def _placed(keys: Column, table: int) -> Column:
-    """Digests with their check sum and their cell in each of three tables laid end to end."""
-    at = lambda k, t: (F.pmod(F.xxhash64(k, F.lit(t)), F.lit(table)) + t * table).cast("int")
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("c"), at(k, 0).alias("a"), at(k, 1).alias("b"), at(k, 2).alias("d")))
-
-
 def _check(k: Column) -> Column:
     return F.hash(k)
 
 
-def _here(p: Column, i: Column) -> Column:
-    return (p["a"] == i) | (p["b"] == i) | (p["d"] == i)
+def placed(keys: Column, table: int = TABLE) -> Column:
+    """Digests ``k`` with their check sum ``c``, their cell in each of three tables (a, b, d) and a hash ``r`` that deals them to buckets."""
+    at = lambda k, t: F.pmod(F.xxhash64(k, F.lit(t)), F.lit(table)).cast("int")
+    return F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("c"), at(k, 0).alias("a"), at(k, 1).alias("b"), at(k, 2).alias("d"), F.xxhash64(k, F.lit(11)).alias("r")))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def sketch(keys: Column, table: int = TABLE) -> Column:
-    """3 * table cells (n, k, c): how many digests fall in, and the exclusive or of them and of their check sums."""
+    """Of placed digests 3 * table cells (n, k, c), table by table: how many digests fall in, and the exclusive or of them and of their check sums."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).alias("c"))
-    add = lambda a, p: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["c"].bitwiseXOR(p["c"]).alias("c"))
-    # the inner lambda, over one array bound outside, places each digest once
-    return F.get(F.transform(F.array(_placed(keys, table)), lambda placed: F.transform(F.sequence(F.lit(0), F.lit(3 * table - 1)), lambda i: F.aggregate(placed, empty, lambda a, p: F.when(_here(p, i), add(a, p)).otherwise(a)))), F.lit(0))
+    add = lambda s, p: F.struct((s["n"] + 1).alias("n"), s["k"].bitwiseXOR(p["k"]).alias("k"), s["c"].bitwiseXOR(p["c"]).alias("c"))
+    cells = lambda t: F.transform(F.sequence(F.lit(0), F.lit(table - 1)), lambda i: F.aggregate(F.filter(keys, lambda p: p[t] == i), empty, add))
+    return F.concat(cells("a"), cells("b"), cells("d"))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -54,57 +55,59 @@ def subtract(a: Column, b: Column) -> Column:
 def peel(cells: Column, table: int = TABLE) -> Column:
     """The digests that differ, recovered from a difference of sketches: cells with one digest tell it, it is taken out of its other cells, and so on. Null if cells remain."""
     is_one = lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"]))
+    at = lambda k, t: F.pmod(F.xxhash64(k, F.lit(t)), F.lit(table)).cast("int")
+    less = lambda c, p: F.struct((c["n"] - p["n"]).alias("n"), c["k"].bitwiseXOR(p["k"]).alias("k"), c["c"].bitwiseXOR(p["c"]).alias("c"))
 
     def told(state: Column) -> Column:
         ones = F.array_distinct(F.transform(F.filter(state["cells"], is_one), lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
-        at = lambda k, t: (F.pmod(F.xxhash64(k, F.lit(t)), F.lit(table)) + t * table).cast("int")
         return F.transform(ones, lambda o: F.struct(o["k"].alias("k"), o["n"].alias("n"), _check(o["k"]).alias("c"), at(o["k"], 0).alias("a"), at(o["k"], 1).alias("b"), at(o["k"], 2).alias("d")))
 
     def step(state: Column, ones: Column) -> Column:
-        less = lambda c, p: F.struct((c["n"] - p["n"]).alias("n"), c["k"].bitwiseXOR(p["k"]).alias("k"), c["c"].bitwiseXOR(p["c"]).alias("c"))
-        cells = F.transform(state["cells"], lambda cell, i: F.aggregate(ones, cell, lambda c, p: F.when(_here(p, i), less(c, p)).otherwise(c)))
-        return F.struct(cells.alias("cells"), F.concat(state["got"], F.transform(ones, lambda o: o["k"])).alias("got"), F.lit(True).alias("live"))
+        part = lambda n, t: F.transform(F.slice(state["cells"], 1 + n * table, table), lambda cell, i: F.aggregate(F.filter(ones, lambda p: p[t] == i), cell, less))
+        return F.struct(F.concat(part(0, "a"), part(1, "b"), part(2, "d")).alias("cells"), F.concat(state["got"], F.transform(ones, lambda o: o["k"])).alias("got"), F.lit(True).alias("live"))
 
     def round_(state: Column, _: Column) -> Column:
         stop = F.struct(state["cells"].alias("cells"), state["got"].alias("got"), F.lit(False).alias("live"))
-        return F.when(~state["live"], state).otherwise(F.get(F.transform(F.array(told(state)), lambda ones: F.when(F.size(ones) == 0, stop).otherwise(step(state, ones))), F.lit(0)))
+        return F.when(~state["live"], state).otherwise(_bound(told(state), lambda ones: F.when(F.size(ones) == 0, stop).otherwise(step(state, ones))))
 
     start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("got"), F.lit(True).alias("live"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)), s["got"]))
 
 
-def _split(keys: Column, groups: Column, salt: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(salt)), groups) == g))
+def roots(a: Column, b: Column) -> Column:
+    """The square root of the number of buckets for two versions' digests."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(a) + F.size(b)) / BUCKET))).cast("int")
 
 
-def _in_buckets(a: Column, b: Column) -> Column:
-    """Pairs (a, b) of the digests of both versions that fall in the same bucket, dealt in two steps, so that long documents do not pay for every bucket with every digest."""
-    root = F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(a) + F.size(b)) / BUCKET))).cast("int")
+def _in_buckets(a: Column, b: Column, root: Column) -> Column:
+    """Pairs (a, b) of the placed digests of both versions that fall in the same bucket, dealt in two steps, so that long documents do not pay for every bucket with every digest."""
     pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
-    outer = F.zip_with(_split(a, root, 11), _split(b, root, 11), pair)
-    return F.flatten(F.transform(outer, lambda o: F.zip_with(_split(o["a"], root, 13), _split(o["b"], root, 13), pair)))
+    outer = lambda keys: F.transform(F.sequence(F.lit(0), root - 1), lambda g: F.filter(keys, lambda p: F.pmod(p["r"], root) == g))
+    inner = lambda keys: F.transform(F.sequence(F.lit(0), root - 1), lambda g: F.filter(keys, lambda p: F.pmod(F.shiftright(p["r"], 32), root) == g))
+    return F.flatten(F.transform(F.zip_with(outer(a), outer(b), pair), lambda o: F.zip_with(inner(o["a"]), inner(o["b"]), pair)))
 
 
-def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """How many digests are in one of two versions only.
+def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column, root: Column) -> Column:
+    """How many of the placed digests are in one of two versions only.
 
-    The two fingerprints are subtracted and peeled first. If that fails, digests are dealt to buckets and each bucket's sketches subtracted and peeled, in ever larger tables until they yield. A bucket that defies the largest is counted by comparing its digests.
+    The two fingerprints are subtracted and peeled first. If that fails, digests are dealt to ``root`` squared buckets and each bucket's sketches subtracted and peeled, in ever larger tables until they yield. A bucket that defies the largest is counted by comparing its digests.
     """
+    only = lambda keys: F.transform(keys, lambda p: p["k"])
+
+    def attempt(p: Column, table: int) -> Column:
+        if table == TABLE:
+            return F.array_size(peel(subtract(sketch(p["a"]), sketch(p["b"]))))
+        return _bound(placed(only(p["a"]), table), lambda x: _bound(placed(only(p["b"]), table), lambda y: F.array_size(peel(subtract(sketch(x, table), sketch(y, table)), table))))
+
     def bucket(p: Column) -> Column:
-        tries = [F.array_size(peel(subtract(sketch(p["a"], t), sketch(p["b"], t)), t)) for t in RETRIES]
-        return F.coalesce(*tries, F.size(F.array_except(p["a"], p["b"])) + F.size(F.array_except(p["b"], p["a"])))
+        x, y = only(p["a"]), only(p["b"])
+        return F.coalesce(*(attempt(p, t) for t in RETRIES), F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
 
     first = F.array_size(peel(subtract(sketch_a, sketch_b)))
-    again = F.aggregate(_in_buckets(a, b), F.lit(0), lambda n, p: n + F.when((F.size(p["a"]) == 0) | (F.size(p["b"]) == 0), F.size(p["a"]) + F.size(p["b"])).otherwise(bucket(p)))
+    again = F.aggregate(_in_buckets(a, b, root), F.lit(0), lambda n, p: n + F.when((F.size(p["a"]) == 0) | (F.size(p["b"]) == 0), F.size(p["a"]) + F.size(p["b"])).otherwise(bucket(p)))
     return F.coalesce(first, again)
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Shared over all digests of two versions, 0 to 1, from the count that differs; 1 for two texts without any."""
-    both, apart = F.size(a) + F.size(b), difference(a, b, sketch_a, sketch_b)
-    return F.when(both == 0, 1.0).otherwise((both - apart) / (both + apart))
-
-
 def as_text(cells: Column) -> Column:
     """A sketch as a string: count, key and check sum of each cell in hexadecimal digits."""
     return F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["n"]), F.lit("."), F.hex(c["k"]), F.lit("."), F.hex(c["c"]))), ",")
@@ -112,7 +115,7 @@ def as_text(cells: Column) -> Column:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``fingerprint`` of every whole text; equal texts have equal fingerprints, null and empty ones an empty sketch."""
-    return df.select(F.col(quoted(id_col)).alias(id_col), as_text(sketch(digests(F.col(quoted(text_col))))).alias("fingerprint"))
+    return df.select(F.col(quoted(id_col)).alias(id_col), as_text(_bound(placed(digests(F.col(quoted(text_col)))), sketch)).alias("fingerprint"))
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
@@ -144,11 +147,16 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mar
 def compare_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text: the last quarter (rounded down) of its code points replaced by the first as many, or all, of the next text.
 
-    Gives ``id_col``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next`` (likeness to the edited and to the next text).
+    Gives ``id_col``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next``: likeness to the edited and to the next text, the shared over all digests of both, from the count that differs; 1 for two texts without any.
     """
     rows = with_next(df, id_col, text_col, digests(F.col("text"))).withColumn("n_chars", F.length("text").cast("bigint")).withColumn("__q", F.floor(F.col("n_chars") / 4).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("__q")), F.substring("next_text", F.lit(1), F.col("__q"))))
     rows = rows.select(id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("mark").alias("a"), digests(F.col("edited")).alias("b"), F.col("next_mark").alias("c"))
-    rows = rows.withColumns({f"sketch_{x}": sketch(F.col(x)) for x in "abc"})
-    near = lambda x: likeness(F.col("a"), F.col(x), F.col("sketch_a"), F.col(f"sketch_{x}"))
+    rows = rows.withColumns({x: placed(F.col(x)) for x in "abc"}).withColumns({f"sketch_{x}": sketch(F.col(x)) for x in "abc"} | {f"root_{x}": roots(F.col("a"), F.col(x)) for x in "bc"})
+    rows = rows.withColumns({f"apart_{x}": difference(F.col("a"), F.col(x), F.col("sketch_a"), F.col(f"sketch_{x}"), F.col(f"root_{x}")) for x in "bc"})
+
+    def near(x: str) -> Column:
+        both = F.size("a") + F.size(x)
+        return F.when(both == 0, 1.0).otherwise((both - F.col(f"apart_{x}")) / (both + F.col(f"apart_{x}")))
+
     return rows.select(id_col, "n_chars", "edited_sha256", as_text(F.col("sketch_a")).alias("fingerprint"), as_text(F.col("sketch_b")).alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))

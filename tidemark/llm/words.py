@@ -34,5 +34,13 @@ class WordMemory(dict):
             self.clear()
         self[word] = packed
 
-    def unknown(self, words: set[bytes]) -> list[bytes]:
-        return [w for w in words if w not in self and w not in self.before]
+    def learn(self, words: set[bytes], encode_all: Callable[[list[bytes]], list[bytes]]) -> None:
+        """Encode in one go those of ``words`` that are not known. All of ``words`` then stay known until ``turn``."""
+        new = [w for w in words if w not in self and w not in self.before]
+        self.update(zip(new, encode_all(new), strict=True))
+
+    def turn(self) -> None:
+        """Begin a new generation if this one is full."""
+        if len(self) >= self.entries:
+            self.before = {w: x for w, x in self.items() if len(w) <= LONGEST}
+            self.clear()
