@@ -42,12 +42,12 @@ MONTHLY = "monthly AS (SELECT n_name AS nation, CAST(date_trunc('month', o_order
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shipped revenue of each day: day, revenue, quantity."""
+    """Shipped revenue of each day: day, revenue, quantity. It is summed in decimals, so that no order of the sum can tip a half cent."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.sum("l_quantity").alias("quantity"))
+    return lines.groupBy(F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")), 2).cast("double").alias("revenue"), F.sum("l_quantity").alias("quantity"))
 
 
-DAILY = "daily AS (SELECT CAST(l_shipdate AS DATE) AS day, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, SUM(l_quantity) AS quantity FROM lineitem GROUP BY 1)"
+DAILY = "daily AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST(ROUND(SUM(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))), 2) AS DOUBLE) AS revenue, SUM(l_quantity) AS quantity FROM lineitem GROUP BY 1)"
 
 
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
