@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import xxhash
 from helpers import documents, empty
 
@@ -100,3 +102,15 @@ def test_near_copies_of_the_table(spark, sf_dir, texts):
     near = {d: {e for p in alike for e in p if d in p} | {d} for d in sets}
     for d in sets:  # no class without an alike member
         assert got[d] == d or any(got[e] == got[d] for e in near[d] - {d})
+
+
+def test_near_copies_of_a_crowd_are_one(spark):
+    """More near copies of one text than a bucket holds."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(4, 11)))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(word() if i in rnd.sample(range(150), 1) else w for i, w in enumerate(base)) for _ in range(60)]
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    near = [k for k in range(60) if np.intersect1d(sets[0], sets[k]).size >= 0.8 * np.union1d(sets[0], sets[k]).size]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts)).collect()}
+    assert sum(got[k] == 0 for k in near) >= 0.9 * len(near)

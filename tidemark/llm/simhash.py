@@ -16,7 +16,7 @@ BITS = 64
 #: Of candidates for near copies: a word of this many bytes counts as rare, and texts with fewer rare words use all.
 RARE_BYTES, LEAST_RARE = 8, 5
 #: Independent fingerprints for candidates.
-SEEDS = (42, 43, 44, 45)
+SEEDS = (42, 43, 44, 45, 46, 47)
 #: Shingle hashes unpacked into bits at once.
 VOTES_AT_ONCE = 1 << 16
 
@@ -134,10 +134,38 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return marks.join(classes, "simhash").select(F.col("__id").alias(id_col), "simhash", "component_id")
 
 
+def candidates(copies: DataFrame, bucket: int = 8) -> DataFrame:
+    """Pairs (a, b) of representatives that have a segment of 32 bits in common but for at most one bit, in one of several fingerprints.
+
+    ``copies`` has ``rep`` and ``marks``, an array of fingerprints. Every segment gives 32 one-wildcard variants. Variants of at most ``bucket`` texts are joined with themselves. In fuller ones no pairs are formed: texts with equal segments meet a text drawn from among them, drawn anew for each of four bits of each segment, and the fewer of those that differ in the bit meet one drawn from the more. A text in a crowd is so held against up to 32 of its own, and a crowd of near copies hangs together by any of them; a link of two texts in a crowd that have no chain of links over those drawn is not found.
+    """
+    each = copies.select("rep", F.posexplode("marks").alias("k", "mark"))
+    parts = [(F.shiftrightunsigned("mark", 32 * s).bitwiseAND(F.lit((1 << 32) - 1)), s * 32 + i) for s in range(2) for i in range(32)]
+    full = each.select("rep", "k", F.explode(F.array(*(part.bitwiseOR(F.lit(place << 32)) for part, place in parts))).alias("w"))
+    wild = F.expr("shiftleft(1L, cast(shiftright(w, 32) AS int) % 32)")
+    index = full.select("rep", F.col("w").bitwiseAND(F.bitwise_not(wild)).bitwiseOR(F.expr("shiftleft(cast(k AS bigint), 38)")).alias("variant"), (F.col("w").bitwiseAND(wild) != 0).alias("bit"))
+    sizes = index.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_if("bit").alias("ones")).where("n > 1")
+    members = write_table(index.join(sizes, "variant"), "variants")
+    # equal segments share all 32 variants: they count once, at bit 0
+    place = F.shiftright("variant", 32).bitwiseAND(F.lit(31))
+    few = members.where(F.col("n") <= bucket).where((place == 0) | F.col("ones").between(1, F.col("n") - 1)).select("variant", "rep", "bit")
+    other = few.select("variant", F.col("rep").alias("b"), F.col("bit").alias("other"))
+    near = few.withColumnRenamed("rep", "a").join(other, "variant").where((F.col("a") < F.col("b")) & ((F.col("bit") != F.col("other")) | (place == 0))).select("a", "b")
+    more = F.col("ones") * 2 > F.col("n")  # whether most have the bit set
+    crowd = members.where(F.col("n") > bucket).where((place < 4) | F.col("ones").between(1, F.col("n") - 1))
+    drawn = lambda bit: F.min(F.when(F.col("bit") == bit, F.struct(F.xxhash64("rep", F.shiftright("variant", 32)), "rep")))["rep"]
+    centres = crowd.groupBy("variant").agg(drawn(True).alias("set"), drawn(False).alias("unset"))
+    sought = crowd.where((place < 4) | (F.col("bit") != more)).join(centres, "variant")
+    own = F.when(place < 4, F.when(F.col("bit"), F.col("set")).otherwise(F.col("unset")))
+    across = F.when(F.col("bit") != more, F.when(F.col("bit"), F.col("unset")).otherwise(F.col("set")))
+    around = sought.select("rep", F.explode(F.array_compact(F.array(own, across))).alias("centre")).where("rep <> centre")
+    return near.unionByName(around.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))).distinct()
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """``id_col`` and ``component_id``, the smallest id of the copies and near copies of each text: those whose sets of shingles of ``width`` words have a Jaccard likeness of ``at_least``.
 
-    Equal texts are one text. Candidates are texts whose fingerprints of rare words differ in at most 2 bits for one of ``seeds``, found by ``links``; every candidate is then measured on its whole shingle sets. What is joined is thus always alike; near copies that no fingerprint brings together are missed. Texts without words, and null ones, are copies of texts with the same words only. Repeated rows keep their number; rows with a null id are in no class. An empty table gives an empty result.
+    Equal texts are one text. Candidates come from fingerprints of rare words, one for each of ``seeds`` (see ``candidates``); each is then measured on its whole shingle sets. What is joined is thus always alike; near copies that no fingerprint brings together are missed. Texts without words, and null ones, are copies of texts with the same words only. Repeated rows keep their number; rows with a null id are in no class. An empty table gives an empty result.
     """
 
     def kernel(texts: list[bytes]) -> list:
@@ -148,22 +176,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     named = df.select(F.col(quoted(id_col)).alias("__id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("__text")).where("__id is not null")
     marks = write_table(map_texts(named.withColumn("__copy", F.md5("__text")), lambda: kernel, fields, "__text", ("__id", "__copy")), "marks")
     copies = write_table(marks.groupBy("__copy").agg(F.min("__id").alias("rep"), F.min("__marks").alias("marks"), F.min("__words").alias("words")), "copies")
-    found = []
-    for k in range(len(seeds)):
-        each = copies.where("words").select("rep", F.get("marks", F.lit(k)).alias("simhash"))
-        values = write_table(each.groupBy("simhash").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")), "values")
-        found.append(links(values.select("simhash", F.col("first").alias("rep"))))
-        shared = each.join(values.where("n > 1"), "simhash").where("rep <> first")
-        found.append(shared.select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = write_table(pairs.distinct(), "pairs")
+    pairs = write_table(candidates(copies.where("words")), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
     sets = write_table(map_texts(named.join(wanted, "__id"), lambda: lambda texts: [[shingle_set(t, width) for t in texts]], [("shingles", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], "__text", ("__id",)).dropDuplicates(["__id"]), "shingles")
     side = lambda name: sets.select(F.col("__id").alias(name), F.col("shingles").alias(f"of_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
-    alike = both.where(F.col("shared") >= at_least * (F.size("of_a") + F.size("of_b") - F.col("shared"))).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # sets of too unequal sizes can't be alike, which is told before they meet
+    small, large = F.least(F.size("of_a"), F.size("of_b")), F.greatest(F.size("of_a"), F.size("of_b"))
+    shared = F.when(small >= at_least * large, F.size(F.array_intersect("of_a", "of_b"))).otherwise(0)
+    alike = both.withColumn("shared", shared).where(F.col("shared") >= at_least * (F.size("of_a") + F.size("of_b") - F.col("shared"))).select("a", "b")
     roots = smallest_reachable(alike)
     classes = copies.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("__copy", F.coalesce("root", "rep").alias("component_id"))
     return marks.select("__id", "__copy").join(classes, "__copy").select(F.col("__id").alias(id_col), "component_id")
