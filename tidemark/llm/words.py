@@ -35,8 +35,12 @@ class WordMemory(dict):
         self[word] = packed
 
     def learn(self, words: set[bytes], encode_all: Callable[[list[bytes]], list[bytes]]) -> None:
-        """Encode in one go those of ``words`` that are not known. All of ``words`` then stay known until ``turn``."""
-        new = [w for w in words if w not in self and w not in self.before]
+        """Encode in one go those of ``words`` that are not known, and bring over those of the generation before. All of ``words`` then stay known until ``turn``."""
+        new = [w for w in words if w not in self]
+        if self.before:
+            before = self.before
+            self.update((w, before[w]) for w in new if w in before)
+            new = [w for w in new if w not in before]
         self.update(zip(new, encode_all(new), strict=True))
 
     def turn(self) -> None:
