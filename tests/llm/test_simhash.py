@@ -114,3 +114,36 @@ def test_near_copies_of_a_crowd_are_one(spark):
     near = [k for k in range(60) if np.intersect1d(sets[0], sets[k]).size >= 0.8 * np.union1d(sets[0], sets[k]).size]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts)).collect()}
     assert sum(got[k] == 0 for k in near) >= 0.9 * len(near)
+
+
+def joined(sets):
+    """Smallest index reachable over likenesses of 0.8, by comparing all pairs."""
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if np.intersect1d(sets[a], sets[b]).size >= 0.8 * np.union1d(sets[a], sets[b]).size:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {k: find(k) for k in range(len(sets))}
+
+
+def words_of(rnd, n):
+    return ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(4, 11))) for _ in range(n)]
+
+
+def test_copies_that_are_alike_to_their_original_only(spark):
+    """A crowd whose members hang together by one text, beside texts that share half of it, and a crowd without an original."""
+    rnd = random.Random(5)
+    base, other = words_of(rnd, 150), words_of(rnd, 150)
+    changed = lambda base, n: " ".join(words_of(rnd, 1)[0] if i in at else w for at in [rnd.sample(range(len(base)), n)] for i, w in enumerate(base))
+    texts = [changed(base, 3) for _ in range(300)] + [" ".join(base)] + [changed(base, 3) for _ in range(299)]
+    texts += [" ".join(base[:75] + words_of(rnd, 75)) for _ in range(30)] + [changed(other, k % 4 + 1) for k in range(60)]
+    want = joined([simhash.shingle_set(t.encode(), 5) for t in texts])
+    assert sum(want[k] == 0 for k in range(600)) > 550
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts, list(range(len(texts))))).collect()} == want

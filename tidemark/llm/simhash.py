@@ -1,7 +1,9 @@
-"""SimHash near-dedup by deletion-variant signatures."""
+"""SimHash near-dedup by deletion-variant signatures; near copies by prefixes of shingle sets."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,10 +15,10 @@ from .components import smallest_reachable
 from .scratch import write_table
 
 BITS = 64
-#: Of candidates for near copies: a word of this many bytes counts as rare, and texts with fewer rare words use all.
-RARE_BYTES, LEAST_RARE = 8, 5
-#: Independent fingerprints for candidates.
-SEEDS = (42, 43, 44, 45, 46, 47)
+#: Of near copies: texts sampled for common shingles, in how many of them a shingle is common, and how many of these are known at most.
+SAMPLE, LEAST_COMMON, MOST_COMMON = 20_000, 8, 100_000
+#: Room for rounding where a bound decides which texts meet.
+SLACK = 1e-6
 #: Shingle hashes unpacked into bits at once.
 VOTES_AT_ONCE = 1 << 16
 
@@ -45,19 +47,6 @@ def fingerprint_of(text: bytes, width: int, seed: int) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
-def rare_fingerprint(words: list[bytes], seed: int) -> int:
-    """SimHash of single words, rare ones only: common words make texts of one language alike, and a changed word changes a shingle for each of its words."""
-    import xxhash
-
-    rare = [w for w in words if len(w) >= RARE_BYTES]
-    words = rare if len(rare) >= LEAST_RARE else words
-    votes = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(words), VOTES_AT_ONCE):
-        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words[at : at + VOTES_AT_ONCE]], dtype=">u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(words)).tobytes(), "big")
-
-
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Distinct hashes of the shingles of one text, in order."""
     import xxhash
@@ -134,57 +123,98 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return marks.join(classes, "simhash").select(F.col("__id").alias(id_col), "simhash", "component_id")
 
 
-def candidates(copies: DataFrame, bucket: int = 8) -> DataFrame:
-    """Pairs (a, b) of representatives that have a segment of 32 bits in common but for at most one bit, in one of several fingerprints.
+def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each distinct text (null is the empty one), written to the shared folder: a number ``node``, its ``copy`` (a digest), ``text`` and ``row``, that of its rows with the smallest id; null ids come last."""
+    columns = [F.col(quoted(c)) for c in df.columns]
+    order = F.struct(F.col(quoted(id_col)).isNull(), F.col(quoted(id_col)), F.xxhash64(*columns))
+    rows = df.select(F.md5(F.coalesce(F.col(quoted(text_col)), F.lit(""))).alias("copy"), F.struct(*columns).alias("row"), order.alias("order"))
+    kept = rows.groupBy("copy").agg(F.min_by("row", "order").alias("row"))
+    return write_table(kept.select(F.monotonically_increasing_id().alias("node"), "copy", F.coalesce(F.col(f"row.{quoted(text_col)}"), F.lit("")).alias("text"), "row"), "texts")
+
 
-    ``copies`` has ``rep`` and ``marks``, an array of fingerprints. Every segment gives 32 one-wildcard variants. Variants of at most ``bucket`` texts are joined with themselves. In fuller ones no pairs are formed: texts with equal segments meet a text drawn from among them, drawn anew for each of four bits of each segment, and the fewer of those that differ in the bit meet one drawn from the more. A text in a crowd is so held against up to 32 of its own, and a crowd of near copies hangs together by any of them; a link of two texts in a crowd that have no chain of links over those drawn is not found.
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many of a sample of about SAMPLE texts, in order, and in how many: at most MOST_COMMON. They only tell which shingles are to come last; no result depends on them."""
+    every = max(1, texts.count() // SAMPLE)
+    sample = map_texts(texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0), lambda: lambda x: [[shingle_set(t, width) for t in x]], [("shingles", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], "text", ("node",))
+    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COMMON)
+    found = sorted((r.s, r.n) for r in counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect())
+    return np.array([s for s, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.int64)
+
+
+def prefix(shingles: np.ndarray, at_least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a set in an order that is the same for all sets (common ones last): so many that two sets of a likeness of ``at_least`` have one of them in common."""
+    n = len(shingles)
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        many = np.where(common[at] == shingles, counts[at], 0)
+        if many.any():
+            shingles = shingles[np.lexsort((shingles, many))]
+    return shingles[: n - math.ceil(at_least * n - SLACK) + 1]
+
+
+def alike_links(texts: DataFrame, width: int = 5, at_least: float = 0.8, bucket: int = 16) -> DataFrame:
+    """Links (a, b) between nodes of ``texts`` (``node``, ``text``) whose transitive closure joins all texts with a likeness of ``at_least``; all are measured on whole sets of shingles.
+
+    Exact: two sets that are alike share a shingle of both prefixes, and at the first that they share what follows must be long enough for the overlap (``fits``). Shingles of at most ``bucket`` prefixes pair all their texts. In a more common one all texts meet its centre, the text with the fewest rarer shingles; those alike are then one class, and only texts out of the centre's class meet the others, in so far as they are of different classes.
     """
-    each = copies.select("rep", F.posexplode("marks").alias("k", "mark"))
-    parts = [(F.shiftrightunsigned("mark", 32 * s).bitwiseAND(F.lit((1 << 32) - 1)), s * 32 + i) for s in range(2) for i in range(32)]
-    full = each.select("rep", "k", F.explode(F.array(*(part.bitwiseOR(F.lit(place << 32)) for part, place in parts))).alias("w"))
-    wild = F.expr("shiftleft(1L, cast(shiftright(w, 32) AS int) % 32)")
-    index = full.select("rep", F.col("w").bitwiseAND(F.bitwise_not(wild)).bitwiseOR(F.expr("shiftleft(cast(k AS bigint), 38)")).alias("variant"), (F.col("w").bitwiseAND(wild) != 0).alias("bit"))
-    sizes = index.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_if("bit").alias("ones")).where("n > 1")
-    members = write_table(index.join(sizes, "variant"), "variants")
-    # equal segments share all 32 variants: they count once, at bit 0
-    place = F.shiftright("variant", 32).bitwiseAND(F.lit(31))
-    few = members.where(F.col("n") <= bucket).where((place == 0) | F.col("ones").between(1, F.col("n") - 1)).select("variant", "rep", "bit")
-    other = few.select("variant", F.col("rep").alias("b"), F.col("bit").alias("other"))
-    near = few.withColumnRenamed("rep", "a").join(other, "variant").where((F.col("a") < F.col("b")) & ((F.col("bit") != F.col("other")) | (place == 0))).select("a", "b")
-    more = F.col("ones") * 2 > F.col("n")  # whether most have the bit set
-    crowd = members.where(F.col("n") > bucket).where((place < 4) | F.col("ones").between(1, F.col("n") - 1))
-    drawn = lambda bit: F.min(F.when(F.col("bit") == bit, F.struct(F.xxhash64("rep", F.shiftright("variant", 32)), "rep")))["rep"]
-    centres = crowd.groupBy("variant").agg(drawn(True).alias("set"), drawn(False).alias("unset"))
-    sought = crowd.where((place < 4) | (F.col("bit") != more)).join(centres, "variant")
-    own = F.when(place < 4, F.when(F.col("bit"), F.col("set")).otherwise(F.col("unset")))
-    across = F.when(F.col("bit") != more, F.when(F.col("bit"), F.col("unset")).otherwise(F.col("set")))
-    around = sought.select("rep", F.explode(F.array_compact(F.array(own, across))).alias("centre")).where("rep <> centre")
-    return near.unionByName(around.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))).distinct()
-
-
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """``id_col`` and ``component_id``, the smallest id of the copies and near copies of each text: those whose sets of shingles of ``width`` words have a Jaccard likeness of ``at_least``.
-
-    Equal texts are one text. Candidates come from fingerprints of rare words, one for each of ``seeds`` (see ``candidates``); each is then measured on its whole shingle sets. What is joined is thus always alike; near copies that no fingerprint brings together are missed. Texts without words, and null ones, are copies of texts with the same words only. Repeated rows keep their number; rows with a null id are in no class. An empty table gives an empty result.
+    spark = texts.sparkSession
+    common = spark.sparkContext.broadcast(common_shingles(texts, width))
+
+    def kernel(found: list[bytes]) -> list:
+        sets = [shingle_set(t, width) for t in found]
+        return [[prefix(s, at_least, *common.value) for s in sets], [len(s) for s in sets]]
+
+    longs = (T.ArrayType(T.LongType()), pa.list_(pa.int64()))
+    prefixes = write_table(map_texts(texts, lambda: kernel, [("prefix", *longs), ("size", T.IntegerType(), pa.int32())], "text", ("node",)).where("size > 0"), "prefixes")
+    index = prefixes.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
+    counts = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "node", "size")).alias("centre")).where("n > 1")
+    members = write_table(index.join(counts, "shingle"), "members")
+    share = at_least / (1 + at_least)
+
+    def fits(size: str, pos: str, other_size: str, other_pos: str) -> Column:
+        return F.least(F.col(size) - F.col(pos), F.col(other_size) - F.col(other_pos)) >= share * (F.col(size) + F.col(other_size)) - SLACK
+
+    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    few = members.where(F.col("n") <= bucket).select("shingle", "node", "size", "pos")
+    renamed = lambda df: df.select("shingle", *(F.col(c).alias(f"other_{c}") for c in df.columns if c != "shingle"))
+    near = few.join(renamed(few), "shingle").where((F.col("node") < F.col("other_node")) & fits("size", "pos", "other_size", "other_pos")).select(*pair("node", "other_node"))
+    many = members.where(F.col("n") > bucket)
+    around = many.where((F.col("node") != F.col("centre.node")) & fits("size", "pos", "centre.size", "centre.pos")).select(*pair("node", "centre.node"))
+    pairs = write_table(near.unionByName(around).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct()
+    sets = write_table(map_texts(texts.select("node", "text").join(wanted, "node"), lambda: lambda found: [[shingle_set(t, width) for t in found]], [("shingles", *longs)], "text", ("node",)), "shingles")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
+        shared = F.size(F.array_intersect("of_a", "of_b"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
+        return both.where(F.col("shared") >= at_least * (F.size("of_a") + F.size("of_b") - F.col("shared"))).select("a", "b")
+
+    links = write_table(measured(pairs), "links")
+    roots = smallest_reachable(links)
+    of = lambda name, root: roots.select(F.col("node").alias(name), F.col("root").alias(root))
+    crowd = many.select("shingle", "node", "size", "pos", F.col("centre.node").alias("centre"))
+    crowd = crowd.join(of("node", "own"), "node", "left").join(of("centre", "main"), "centre", "left").withColumns({"own": F.coalesce("own", "node"), "main": F.coalesce("main", "centre")})
+    crowd = write_table(crowd.select("shingle", "node", "size", "pos", "own", (F.col("own") != F.col("main")).alias("out")), "crowd")
+    out = crowd.where("out")
+    left = out.join(renamed(crowd), "shingle").where((F.col("own") != F.col("other_own")) & (~F.col("other_out") | (F.col("node") < F.col("other_node"))) & fits("size", "pos", "other_size", "other_pos"))
+    return links.unionByName(write_table(measured(left.select(*pair("node", "other_node")).distinct()), "links"))
+
+
+def near_classes(texts: DataFrame, width: int = 5, at_least: float = 0.8) -> DataFrame:
+    """``node`` and ``root``, the smallest node of its class, of every one of ``texts``."""
+    roots = smallest_reachable(alike_links(texts, width, at_least))
+    return texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8) -> DataFrame:
+    """``id_col`` and ``component_id``, the smallest id of the copies and near copies of each text: those whose sets of shingles of ``width`` words have a Jaccard likeness of ``at_least``, and theirs in turn.
+
+    Equal texts are one text. All near copies are found (see ``alike_links``). Texts without words, and null ones, are copies of texts with the same words only. Repeated rows keep their number; rows with a null id are in no class. An empty table gives an empty result.
     """
-
-    def kernel(texts: list[bytes]) -> list:
-        words = [t.lower().split() for t in texts]
-        return [np.array([[rare_fingerprint(w, s) for s in seeds] for w in words], dtype=np.uint64).reshape(len(words), len(seeds)).view(np.int64).tolist(), [bool(w) for w in words]]
-
-    fields = [("__marks", T.ArrayType(T.LongType()), pa.list_(pa.int64())), ("__words", T.BooleanType(), pa.bool_())]
-    named = df.select(F.col(quoted(id_col)).alias("__id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("__text")).where("__id is not null")
-    marks = write_table(map_texts(named.withColumn("__copy", F.md5("__text")), lambda: kernel, fields, "__text", ("__id", "__copy")), "marks")
-    copies = write_table(marks.groupBy("__copy").agg(F.min("__id").alias("rep"), F.min("__marks").alias("marks"), F.min("__words").alias("words")), "copies")
-    pairs = write_table(candidates(copies.where("words")), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    sets = write_table(map_texts(named.join(wanted, "__id"), lambda: lambda texts: [[shingle_set(t, width) for t in texts]], [("shingles", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], "__text", ("__id",)).dropDuplicates(["__id"]), "shingles")
-    side = lambda name: sets.select(F.col("__id").alias(name), F.col("shingles").alias(f"of_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # sets of too unequal sizes can't be alike, which is told before they meet
-    small, large = F.least(F.size("of_a"), F.size("of_b")), F.greatest(F.size("of_a"), F.size("of_b"))
-    shared = F.when(small >= at_least * large, F.size(F.array_intersect("of_a", "of_b"))).otherwise(0)
-    alike = both.withColumn("shared", shared).where(F.col("shared") >= at_least * (F.size("of_a") + F.size("of_b") - F.col("shared"))).select("a", "b")
-    roots = smallest_reachable(alike)
-    classes = copies.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("__copy", F.coalesce("root", "rep").alias("component_id"))
-    return marks.select("__id", "__copy").join(classes, "__copy").select(F.col("__id").alias(id_col), "component_id")
+    named = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).where("id is not null")
+    texts = distinct_texts(named, "id")
+    classes = write_table(near_classes(texts, width, at_least).join(texts.select("node", "copy", F.col("row.id").alias("rep")), "node"), "classes")
+    least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
+    copies = named.select("id", F.md5(F.coalesce("text", F.lit(""))).alias("copy"))
+    return copies.join(classes.join(least, "root").select("copy", "component_id"), "copy").select(F.col("id").alias(id_col), "component_id")
