@@ -55,6 +55,15 @@ def test_one_copy_of_each_text_stays(outputs):
     assert after.count() <= before.count() and not {x for x in ids(outputs[3]) if 100_000 <= x < 100_003}
 
 
+def test_one_row_of_each_class_stays_whatever_its_id(spark, sf_dir):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(1, text("a")), (1, text("a")), (2, text("b")), (5, text("a") + " more"), (5, text("c")), (None, text("a")), (None, text("d")), (None, text("d")), (6, text("e")), (6, text("f")), (7, text("f") + " more")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.dedup_stage(spark, docs, sf_dir)
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, text("d")), (1, text("a")), (2, text("b")), (5, text("c")), (6, text("e")), (6, text("f"))]
+
+
 def test_secrets_are_masked(outputs):
     assert outputs[4].where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
     assert outputs[4].where("n_chars <> length(text)").count() == 0
