@@ -1,7 +1,9 @@
 """The three operators that use DataFrame functions only."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from helpers import documents, empty
@@ -44,6 +46,20 @@ def test_scan_and_redact(spark, forest):
     assert masked.count() == rows.count() and secrets.scan(empty(spark), forest).count() == 0 and secrets.redact(empty(spark), forest).count() == 0
 
 
+def test_long_secrets_are_whole(spark, forest):
+    rnd = random.Random(4)
+    draw = lambda n, of=string.ascii_letters + string.digits: "".join(rnd.choice(of) for _ in range(n))
+    body = "\n".join(draw(64) for _ in range(600))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,{draw(32, '0123456789ABCDEF')}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    values = [draw(600), draw(600), draw(5000), draw(600, "0123456789abcdef"), "eyJ" + draw(600), draw(300, string.ascii_letters) + draw(300), key, key]
+    texts = [f"set {'token = ' if k in (0, 2, 3, 7) else ''}{v} and on" for k, v in enumerate(values)]
+    rows = documents(spark, texts, list(range(len(texts))))
+    found = {(r.doc_id, r.value) for r in secrets.scan(rows, forest).collect()}
+    assert found == set(enumerate(values))
+    masked = {r.doc_id: r.text for r in secrets.redact(rows, forest).collect()}
+    assert masked == {k: t.replace(values[k], "<secret>") for k, t in enumerate(texts)}
+
+
 def test_op1_finds_the_planted_ones(spark, sf_dir):
     found = queries.op1_secrets(spark, sf_dir)
     assert_native(found)

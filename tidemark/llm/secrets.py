@@ -17,13 +17,13 @@ TRAIN_FINDINGS = 3_000
 #: Characters kept on either side of a candidate as its neighbourhood.
 NEAR = 64
 
-# The names that secrets are assigned to, and patterns of secrets in Java's syntax.
+# The names that secrets are assigned to, and patterns of secrets in Java's syntax. No length is cut; possessive loops need no stack.
 _NAMES = "secret|token|password|passwd|passphrase|pwd|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
 _ASSIGNED = rf"(?i:(?:{_NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|[:=])[ \t]{{0,4}}[\"'`]?)"
-_VALUE = r"[^\s\"'`,;<>]{6,512}"
-_LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{20,512}+={0,2}(?![A-Za-z0-9+/_=-])"
-_PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{1,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----"
-PATTERN = f"{_PEM}|{_ASSIGNED}{_VALUE}|{_LONG}"
+_VALUE = r"[^\s\"'`,;<>]{6,}+"
+_LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+_PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]++|-(?!----))++-----END [A-Z ]{0,40}PRIVATE KEY-----"
+PATTERN = f"{_PEM}|{_ASSIGNED}(?:{_PEM}|{_VALUE})|{_LONG}"
 # Words that speak for prose, for a stand-in, for a digest and for a place of tests or of settings.
 DICTIONARY = "about access account address after agent auth base before build cache case check class client code common config connection content count create current data database date default delete description device document domain email empty encode engine entry environment error event example export field file filter folder format from function group handler header home host html http image import index info input instance item json key language large last lib library line link list load local location login main manager message method model module name network node number object open option order output package page param parent parse part password path port process product project property public python query random read record reference remote request response result root route script search secret section select server service session setting shared size source start state status store string style system table target task template test text thread time title token type update upload user usr value version view width window with word world write".split()
 STAND_INS = "changeme example placeholder dummy sample test your xxxx todo none null redacted insert secret_here foobar 12345 abcdef".split()
