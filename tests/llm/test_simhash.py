@@ -147,3 +147,15 @@ def test_copies_that_are_alike_to_their_original_only(spark):
     want = joined([simhash.shingle_set(t.encode(), 5) for t in texts])
     assert sum(want[k] == 0 for k in range(600)) > 550
     assert {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts, list(range(len(texts))))).collect()} == want
+
+
+def test_all_copies_with_passages_added_cut_or_changed(spark):
+    rnd = random.Random(9)
+    texts = []
+    for k in range(60):
+        base = words_of(rnd, 150)
+        texts += [" ".join(base), " ".join([base + words_of(rnd, 20 + k % 16), base[: 122 + k % 20], base[k % 25 :], [words_of(rnd, 1)[0] if i % 50 == 9 else w for i, w in enumerate(base)]][k % 4])]
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    want = joined(sets)
+    assert sum(want[k] != k for k in want) > 50
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts, list(range(len(texts))))).collect()} == want
