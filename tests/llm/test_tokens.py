@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, documents, empty, noisy
 from hypothesis import given, settings
@@ -36,7 +37,7 @@ def test_words_forgotten_are_encoded_alike(odd):
 
 def test_library_ids_equal_the_library(odd):
     library = Tokenizer.from_file(WORDS)
-    got = library_ids.loaded(WORDS).encode_batch([t.encode() for t in odd])
+    got = library_ids.loaded(WORDS).encode_slice(pa.array([t.encode() for t in odd]), None, "<u2").to_pylist()
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in odd]
 
 
@@ -91,6 +92,16 @@ def test_files_of_awkward_rows(spark):
     assert id_files.read_ids(spark, none).count() == 0
 
 
+def test_plain_characters_are_as_in_the_library():
+    """Every character that takes the short way, alone and between others."""
+    library = library_ids.LibraryIds(WORDS)
+    plain = [chr(c) for c in range(0x21, 0x9FA6) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 97 == 0)]
+    texts = [f"a{c}B {c}{c}1 '{c}s 'S{c}" for c in plain] + noisy(200)
+    got = library.encode_slice(pa.array([t.encode() for t in texts]), None, "<u2").to_pylist()
+    want = library.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if np.frombuffer(g, "<u2").tolist() != w.ids] == []
+
+
 def brute_fullest(counts, room):
     best = 0
     items = [x for x, n in counts.items() for _ in range(n)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that a kernel gets at once; a longer text comes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 Kernel = Callable[[list[bytes]], list]
 
@@ -21,19 +21,24 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of ``batch`` of at most SLICE_BYTES of text, or one row, with their texts in UTF-8 (null: empty)."""
+def parts_of(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of at most ``most`` bytes of text in ``column``, or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
-        part = batch.slice(start, stop - start)
-        yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
         start = stop
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of ``batch`` of at most SLICE_BYTES of text, or one row, with their texts in UTF-8 (null: empty)."""
+    for part in parts_of(batch, column):
+        yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
+
+
 def map_texts(df: DataFrame, make_kernel: Callable[[], Kernel], fields: list[tuple[str, T.DataType, pa.DataType]], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of ``df`` and those that the kernel makes of each text.
 
