@@ -1,4 +1,4 @@
-"""SimHash near-dedup by deletion-variant signatures; near copies by prefixes of shingle sets."""
+"""SimHash near-dedup by deletion-variant signatures; near copies that fingerprints do not show by prefixes of shingle sets."""
 
 from __future__ import annotations
 
@@ -10,52 +10,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import map_texts, quoted
+from .batches import map_texts, quoted, slices
 from .components import smallest_reachable
-from .scratch import write_table
+from .scratch import drop_table, write_table
 
 BITS = 64
 #: Of near copies: texts sampled for common shingles, in how many of them a shingle is common, and how many of these are known at most.
-SAMPLE, LEAST_COMMON, MOST_COMMON = 20_000, 8, 100_000
+SAMPLE, LEAST_COMMON, MOST_COMMON = 10_000, 5, 100_000
+#: Keys (24 bytes) that are sent to every executor at most; more are joined by a shuffle.
+MOST_SENT = 250_000
+#: Classes in which the shingles of a text are counted, to bound the overlap of two texts.
+CLASSES = 256
 #: Room for rounding where a bound decides which texts meet.
 SLACK = 1e-6
 #: Shingle hashes unpacked into bits at once.
 VOTES_AT_ONCE = 1 << 16
 
 
-def fingerprint_of(text: bytes, width: int, seed: int) -> int:
-    """SimHash of one text in UTF-8: words between ASCII white space with A-Z lowered, shingles of ``width`` words with repeats."""
+def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
+    """XXH64 of the shingles of ``width`` words of one text in UTF-8, in their order, with repeats: words between ASCII white space with A-Z lowered; fewer words are one shingle."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, seed)  # one hash: each of its bits has all votes
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    ends = ends.tolist()
-    digest = xxhash.xxh64_intdigest
+        return np.array([digest(joined, seed)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = [0, *(ends[:-width] + 1).tolist()]
+    return np.array([digest(joined[i:j], seed) for i, j in zip(starts, ends[width - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def votes_of(hashes: np.ndarray) -> int:
+    """The SimHash of hashes: the bits set in over half of them."""
     votes = np.zeros(BITS, dtype=np.int64)
-    n = len(words) - width + 1
-    for at in range(0, n, VOTES_AT_ONCE):
-        stop = min(n, at + VOTES_AT_ONCE)
-        hashes = np.array([digest(joined[i:j], seed) for i, j in zip(starts[at:stop], ends[at + width - 1 : stop + width - 1], strict=True)], dtype=">u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    for at in range(0, len(hashes), VOTES_AT_ONCE):
+        some = hashes[at : at + VOTES_AT_ONCE].astype(">u8")
+        votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
+def fingerprint_of(text: bytes, width: int, seed: int) -> int:
+    """SimHash of one text over its shingles with repeats."""
+    return votes_of(shingle_hashes(text, width, seed))
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Distinct hashes of the shingles of one text, in order."""
-    import xxhash
-
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))}
-    return np.sort(np.fromiter(hashes, dtype=np.uint64, count=len(hashes)).view(np.int64))
+    return np.unique(shingle_hashes(text, width, 0).view(np.int64))
 
 
 def _kernel(width: int, seed: int):
@@ -117,28 +120,36 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal fingerprints are linked, those of texts without words (0) included. Repeated rows keep their number; rows with a null id take part through their text and get the smallest id that isn't null, or null if there is none. An empty table gives an empty result; other columns are not read.
     """
     marks = write_table(fingerprints(df, id_col, text_col, width, seed).withColumnRenamed(id_col, "__id"), "simhash")
-    values = write_table(marks.groupBy("simhash").agg(F.min("__id").alias("rep")), "values")
-    roots = smallest_reachable(links(values.where("rep is not null")))
-    classes = values.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("simhash", F.coalesce("root", "rep").alias("component_id"))
+    values = write_table(marks.groupBy("simhash").agg(F.min("__id").alias("least")), "values")
+    roots = smallest_reachable(links(values.select(F.col("simhash").alias("rep"), "simhash")))
+    rooted = values.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
+    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("simhash", "component_id")
     return marks.join(classes, "simhash").select(F.col("__id").alias(id_col), "simhash", "component_id")
 
 
-def distinct_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct text (null is the empty one), written to the shared folder: a number ``node``, its ``copy`` (a digest), ``text`` and ``row``, that of its rows with the smallest id; null ids come last."""
-    columns = [F.col(quoted(c)) for c in df.columns]
-    order = F.struct(F.col(quoted(id_col)).isNull(), F.col(quoted(id_col)), F.xxhash64(*columns))
-    rows = df.select(F.md5(F.coalesce(F.col(quoted(text_col)), F.lit(""))).alias("copy"), F.struct(*columns).alias("row"), order.alias("order"))
-    kept = rows.groupBy("copy").agg(F.min_by("row", "order").alias("row"))
-    return write_table(kept.select(F.monotonically_increasing_id().alias("node"), "copy", F.coalesce(F.col(f"row.{quoted(text_col)}"), F.lit("")).alias("text"), "row"), "texts")
+def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with the key of its rows: ``__copy``, a digest of the text (null: the empty one), and ``__row``, a hash of all columns. Rows with one key are equal, or copies of one text at least."""
+    return df.withColumns({"__copy": F.unhex(F.md5(F.coalesce(F.col(quoted(text_col)), F.lit("")))), "__row": F.xxhash64(*(F.col(quoted(c)) for c in df.columns))})
+
+
+def joined_with_few(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Rows joined with a table of keys, which goes to every executor if it has MOST_SENT rows at most, so that texts stay where they are; else both sides are dealt by the keys."""
+    return rows.join(F.broadcast(few) if few.count() <= MOST_SENT else few, on, how)
+
 
+def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many of a sample of about SAMPLE rows (``__row``, ``__text``), in order, and in how many: at most MOST_COMMON. They only tell which shingles are to come last; no result depends on them."""
+    every = max(1, rows.count() // SAMPLE)
 
-def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of many of a sample of about SAMPLE texts, in order, and in how many: at most MOST_COMMON. They only tell which shingles are to come last; no result depends on them."""
-    every = max(1, texts.count() // SAMPLE)
-    sample = map_texts(texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0), lambda: lambda x: [[shingle_set(t, width) for t in x]], [("shingles", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], "text", ("node",))
-    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COMMON)
-    found = sorted((r.s, r.n) for r in counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect())
-    return np.array([s for s, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.int64)
+    def run(batches):
+        for batch in batches:
+            for _, texts in slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, width) for t in texts]))], names=["s"])
+
+    found = rows.where(F.pmod("__row", F.lit(every)) == 0).select("__text").mapInArrow(run, "s long")
+    counts = found.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COMMON)
+    known = sorted((r.s, r.n) for r in counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect())
+    return np.array([s for s, _ in known], dtype=np.int64), np.array([n for _, n in known], dtype=np.int64)
 
 
 def prefix(shingles: np.ndarray, at_least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -152,69 +163,127 @@ def prefix(shingles: np.ndarray, at_least: float, common: np.ndarray, counts: np
     return shingles[: n - math.ceil(at_least * n - SLACK) + 1]
 
 
-def alike_links(texts: DataFrame, width: int = 5, at_least: float = 0.8, bucket: int = 16) -> DataFrame:
-    """Links (a, b) between nodes of ``texts`` (``node``, ``text``) whose transitive closure joins all texts with a likeness of ``at_least``; all are measured on whole sets of shingles.
-
-    Exact: two sets that are alike share a shingle of both prefixes, and at the first that they share what follows must be long enough for the overlap (``fits``). Shingles of at most ``bucket`` prefixes pair all their texts. In a more common one all texts meet its centre, the text with the fewest rarer shingles; those alike are then one class, and only texts out of the centre's class meet the others, in so far as they are of different classes.
+def distinct_texts(rows: DataFrame, width: int, at_least: float) -> DataFrame:
+    """One row for each distinct text of ``rows`` (``__id``, ``__row``, ``__copy``, ``__text``): ``node`` (a number), ``copy``, ``first`` (the least of its rows: whether the id is null, the id and the hash of the row), ``size`` (distinct shingles), ``prefix``, ``counts`` (shingles by the last bits of their hashes; null if one is over 127) and ``simhash``. Texts themselves are not moved; a task looks at a copy of what it has seen once."""
+    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
+    ids = rows.select("__id", "__row").schema
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for part, texts in slices(batch, 3):
+                copies = part.column(2).to_pylist()
+                sizes, prefixes, counts, marks = ([None] * len(texts) for _ in range(4))
+                for k, (copy, text) in enumerate(zip(copies, texts, strict=True)):
+                    if copy not in seen:
+                        seen.add(copy)
+                        hashes = shingle_hashes(text, width, 0)
+                        shingles = np.unique(hashes.view(np.int64))
+                        sizes[k], prefixes[k] = len(shingles), prefix(shingles, at_least, *common.value)
+                        of_class = np.bincount(shingles & (CLASSES - 1), minlength=CLASSES)
+                        counts[k] = of_class.astype(np.int8) if of_class.max() < 128 else None
+                        marks[k] = int(np.uint64(votes_of(hashes)).astype(np.int64))
+                made = [pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int8())), pa.array(marks, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *made], names=["__id", "__row", "__copy", "size", "prefix", "counts", "simhash"])
+
+    kinds = [("__copy", T.BinaryType()), ("size", T.IntegerType()), ("prefix", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.ByteType())), ("simhash", T.LongType())]
+    looked = rows.select("__id", "__row", "__copy", "__text").mapInArrow(run, T.StructType([*ids, *(T.StructField(*k) for k in kinds)]))
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("first")
+    texts = looked.groupBy("__copy").agg(first, F.max("size").alias("size"), F.first("prefix", True).alias("prefix"), F.first("counts", True).alias("counts"), F.max("simhash").alias("simhash"))
+    return write_table(texts.select(F.monotonically_increasing_id().alias("node"), F.col("__copy").alias("copy"), "first", "size", "prefix", "counts", "simhash"), "texts")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, rows: DataFrame, width: int, at_least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b; nodes of ``texts``) whose whole sets of shingles have a likeness of ``at_least``, written to the shared folder. Two sets have no more in common than the sum over classes of hashes of the lesser count: pairs that cannot be alike by that go first. The sets come from the first row of each text."""
+    of = lambda name: texts.select(F.col("node").alias(name), F.struct("size", "counts").alias(f"of_{name}"))
+    most = F.coalesce(F.aggregate(F.zip_with("of_a.counts", "of_b.counts", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x), F.least("of_a.size", "of_b.size"))
+    bounded = pairs.distinct().join(of("a"), "a").join(of("b"), "b").withColumn("most", most)
+    pairs = write_table(bounded.where(F.col("most") >= at_least * (F.col("of_a.size") + F.col("of_b.size") - F.col("most")) - SLACK).select("a", "b"), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = write_table(texts.join(nodes, "node").select("node", F.col("copy").alias("__copy"), F.col("first.row").alias("__row")), "wanted")
+    few = joined_with_few(rows.select("__copy", "__row", "__text"), wanted, ["__copy", "__row"], "inner")
+    found = map_texts(few, lambda: lambda x: [[shingle_set(t, width) for t in x]], [("shingles", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], "__text", ("node",))
+    sets = write_table(found, "sets")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
+    links = write_table(both.where(F.col("shared") >= at_least * (F.size("of_a") + F.size("of_b") - F.col("shared")) - SLACK).select("a", "b"), "links")
+    for done in (pairs, wanted, sets):
+        drop_table(done)
+    return links
+
+
+def alike_links(texts: DataFrame, rows: DataFrame, width: int = 5, at_least: float = 0.8, bucket: int = 16) -> DataFrame:
+    """Links (a, b) between nodes of ``texts`` whose transitive closure joins all texts with a likeness of ``at_least``; all are measured on whole sets of shingles.
+
+    First come SimHashes: nodes with equal fingerprints, or with fingerprints that their deletion variants link (``links``), if they are alike. A fingerprint says little about pairs that are just alike, so all others are found by prefixes of the sets: two sets that are alike share a shingle of both prefixes, and at the first that they share what follows must be long enough for the overlap (``fits``). Shingles of at most ``bucket`` prefixes pair all their texts. In a more common one all texts meet its centre, the text with the fewest rarer shingles; only texts out of the centre's class then meet the others. Pairs that are of one class already are not measured.
     """
-    spark = texts.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(texts, width))
-
-    def kernel(found: list[bytes]) -> list:
-        sets = [shingle_set(t, width) for t in found]
-        return [[prefix(s, at_least, *common.value) for s in sets], [len(s) for s in sets]]
-
-    longs = (T.ArrayType(T.LongType()), pa.list_(pa.int64()))
-    prefixes = write_table(map_texts(texts, lambda: kernel, [("prefix", *longs), ("size", T.IntegerType(), pa.int32())], "text", ("node",)).where("size > 0"), "prefixes")
-    index = prefixes.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
-    counts = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "node", "size")).alias("centre")).where("n > 1")
-    members = write_table(index.join(counts, "shingle"), "members")
+    worded = texts.where("size > 0")
+    reps = write_table(worded.groupBy("simhash").agg(F.min("node").alias("rep")), "values")
+    same = worded.join(reps, "simhash").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    found = alike(same.unionByName(links(reps)), texts, rows, width, at_least)
+    roots = smallest_reachable(found)
+
+    index = worded.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
+    counts = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = roots.withColumnRenamed("root", "own")
+    members = write_table(index.join(counts, "shingle").join(named, "node", "left").withColumn("own", F.coalesce("own", "node")), "members")
     share = at_least / (1 + at_least)
 
-    def fits(size: str, pos: str, other_size: str, other_pos: str) -> Column:
-        return F.least(F.col(size) - F.col(pos), F.col(other_size) - F.col(other_pos)) >= share * (F.col(size) + F.col(other_size)) - SLACK
+    def fits(one: str, other: str) -> Column:
+        return F.least(F.col(f"{one}size") - F.col(f"{one}pos"), F.col(f"{other}size") - F.col(f"{other}pos")) >= share * (F.col(f"{one}size") + F.col(f"{other}size")) - SLACK
 
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    few = members.where(F.col("n") <= bucket).select("shingle", "node", "size", "pos")
     renamed = lambda df: df.select("shingle", *(F.col(c).alias(f"other_{c}") for c in df.columns if c != "shingle"))
-    near = few.join(renamed(few), "shingle").where((F.col("node") < F.col("other_node")) & fits("size", "pos", "other_size", "other_pos")).select(*pair("node", "other_node"))
-    many = members.where(F.col("n") > bucket)
-    around = many.where((F.col("node") != F.col("centre.node")) & fits("size", "pos", "centre.size", "centre.pos")).select(*pair("node", "centre.node"))
-    pairs = write_table(near.unionByName(around).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct()
-    sets = write_table(map_texts(texts.select("node", "text").join(wanted, "node"), lambda: lambda found: [[shingle_set(t, width) for t in found]], [("shingles", *longs)], "text", ("node",)), "shingles")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
-        shared = F.size(F.array_intersect("of_a", "of_b"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
-        return both.where(F.col("shared") >= at_least * (F.size("of_a") + F.size("of_b") - F.col("shared"))).select("a", "b")
-
-    links = write_table(measured(pairs), "links")
-    roots = smallest_reachable(links)
-    of = lambda name, root: roots.select(F.col("node").alias(name), F.col("root").alias(root))
-    crowd = many.select("shingle", "node", "size", "pos", F.col("centre.node").alias("centre"))
-    crowd = crowd.join(of("node", "own"), "node", "left").join(of("centre", "main"), "centre", "left").withColumns({"own": F.coalesce("own", "node"), "main": F.coalesce("main", "centre")})
+    few = members.where(F.col("n") <= bucket).select("shingle", "node", "size", "pos", "own")
+    near = few.join(renamed(few), "shingle").where((F.col("node") < F.col("other_node")) & (F.col("own") != F.col("other_own")) & fits("", "other_")).select(*pair("node", "other_node"))
+    many = members.where(F.col("n") > bucket).select("shingle", "node", "size", "pos", "own")
+    centres = many.groupBy("shingle").agg(F.min(F.struct("pos", "node", "size", "own")).alias("c")).select("shingle", *(F.col(f"c.{c}").alias(f"other_{c}") for c in ("pos", "node", "size", "own")))
+    centred = write_table(many.join(centres, "shingle"), "crowd")
+    around = centred.where((F.col("own") != F.col("other_own")) & fits("", "other_")).select(*pair("node", "other_node"))
+    found = write_table(found.unionByName(alike(near.unionByName(around), texts, rows, width, at_least)), "links")
+    drop_table(members)
+
+    again = smallest_reachable(found)
+    of = lambda name, root: again.select(F.col("node").alias(name), F.col("root").alias(root))
+    crowd = centred.select("shingle", "node", "size", "pos", F.col("other_node").alias("centre")).join(of("node", "own"), "node", "left").join(of("centre", "main"), "centre", "left")
+    crowd = crowd.withColumns({"own": F.coalesce("own", "node"), "main": F.coalesce("main", "centre")})
     crowd = write_table(crowd.select("shingle", "node", "size", "pos", "own", (F.col("own") != F.col("main")).alias("out")), "crowd")
-    out = crowd.where("out")
-    left = out.join(renamed(crowd), "shingle").where((F.col("own") != F.col("other_own")) & (~F.col("other_out") | (F.col("node") < F.col("other_node"))) & fits("size", "pos", "other_size", "other_pos"))
-    return links.unionByName(write_table(measured(left.select(*pair("node", "other_node")).distinct()), "links"))
+    left = crowd.where("out").join(renamed(crowd), "shingle").where((F.col("own") != F.col("other_own")) & (~F.col("other_out") | (F.col("node") < F.col("other_node"))) & fits("", "other_"))
+    links_left = alike(left.select(*pair("node", "other_node")), texts, rows, width, at_least)
+    drop_table(centred)
+    drop_table(crowd)
+    return found.unionByName(links_left)
 
 
-def near_classes(texts: DataFrame, width: int = 5, at_least: float = 0.8) -> DataFrame:
-    """``node`` and ``root``, the smallest node of its class, of every one of ``texts``."""
-    roots = smallest_reachable(alike_links(texts, width, at_least))
-    return texts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8) -> DataFrame:
+    """A row for each distinct text of ``df``: ``copy`` (a digest of the text), ``first`` (``none``, ``id``, ``row``: the least of its rows, null ids last) and ``root``, the same for all copies and near copies: texts whose sets of shingles have a Jaccard likeness of ``at_least``, and theirs in turn. Texts without words are one class."""
+    kept = keyed(df, text_col)
+    rows = kept.select(F.col(quoted(id_col)).alias("__id"), "__row", "__copy", F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary").alias("__text"))
+    texts = distinct_texts(rows, width, at_least)
+    roots = smallest_reachable(alike_links(texts, rows, width, at_least))
+    root = F.when(F.col("size") == 0, F.lit(-1)).otherwise(F.coalesce("root", "node"))
+    return write_table(texts.select("node", "copy", "first", "size").join(roots, "node", "left").select("copy", "first", root.alias("root")), "classes")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8) -> DataFrame:
-    """``id_col`` and ``component_id``, the smallest id of the copies and near copies of each text: those whose sets of shingles of ``width`` words have a Jaccard likeness of ``at_least``, and theirs in turn.
+    """``id_col`` and ``component_id``, the smallest id of the copies and near copies of each text (see ``near_classes``).
 
-    Equal texts are one text. All near copies are found (see ``alike_links``). Texts without words, and null ones, are copies of texts with the same words only. Repeated rows keep their number; rows with a null id are in no class. An empty table gives an empty result.
+    All near copies are found (see ``alike_links``). Texts without words, and null ones, are copies of each other. Repeated rows keep their number; rows with a null id are in no class. An empty table gives an empty result.
     """
     named = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).where("id is not null")
-    texts = distinct_texts(named, "id")
-    classes = write_table(near_classes(texts, width, at_least).join(texts.select("node", "copy", F.col("row.id").alias("rep")), "node"), "classes")
-    least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    copies = named.select("id", F.md5(F.coalesce("text", F.lit(""))).alias("copy"))
+    classes = near_classes(named, "id")
+    least = classes.groupBy("root").agg(F.min("first.id").alias("component_id"))
+    copies = keyed(named).select("id", F.col("__copy").alias("copy"))
     return copies.join(classes.join(least, "root").select("copy", "component_id"), "copy").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8) -> DataFrame:
+    """One row of each class of near copies of ``df`` (see ``near_classes``), that with the smallest id; null ids come last, and of equal rows one stays. Repeated ids and rows with a null id take part by their text."""
+    rows = keyed(df, text_col)
+    best = near_classes(df, id_col, text_col, width, at_least).groupBy("root").agg(F.min(F.struct("first", "copy")).alias("best"))
+    kept = best.select(F.col("best.copy").alias("__copy"), F.col("best.first.row").alias("__row"), F.lit(True).alias("kept"))
+    keys = rows.groupBy("__copy", "__row").agg(F.count(F.lit(1)).alias("n")).join(kept, ["__copy", "__row"], "left")
+    gone = write_table(keys.where("kept is null or n > 1"), "gone")
+    single = joined_with_few(rows, gone.select("__copy", "__row"), ["__copy", "__row"], "left_anti")
+    equal = joined_with_few(rows, gone.where("kept").select("__copy", "__row"), ["__copy", "__row"], "left_semi").dropDuplicates(["__copy", "__row"])
+    return single.unionByName(equal).select(*(F.col(quoted(c)) for c in df.columns))
