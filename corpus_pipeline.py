@@ -35,10 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of copies and near copies (shingles of five words, 0.8 alike), that of the smallest id; null ids come last. Repeated ids and rows with a null id take part by their text."""
-    texts = simhash.distinct_texts(docs.select(*COLUMNS))
-    classes = simhash.near_classes(texts).join(texts.select("node", F.struct(F.col("row.doc_id").isNull(), "row.doc_id", "copy").alias("order")), "node")
-    kept = classes.groupBy("root").agg(F.min_by("node", "order").alias("node")).select("node")
-    return texts.join(kept, "node").select("row.*")
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
