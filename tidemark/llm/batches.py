@@ -7,13 +7,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that a kernel gets at once; a longer text comes alone.
 SLICE_BYTES = 1 << 20
 
+#: Documents that Python gets at once, at most.
+ROWS_AT_ONCE = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 Kernel = Callable[[list[bytes]], list]
 
 
@@ -21,6 +25,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def few_at_once(spark: SparkSession) -> None:
+    """Documents may be long: a session that hands Python more than ROWS_AT_ONCE rows at once, or all of a task, is brought down to it."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= ROWS_AT_ONCE:
+        spark.conf.set(_BATCH, str(ROWS_AT_ONCE))
+
+
 def parts_of(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` of at most ``most`` bytes of text in ``column``, or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -54,11 +64,14 @@ def map_texts(df: DataFrame, make_kernel: Callable[[], Kernel], fields: list[tup
     names = kept + [name for name, _, _ in fields]
     kinds = [kind for _, _, kind in fields]
 
+    few_at_once(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make_kernel()
         for batch in batches:
             for part, texts in slices(batch, at):
                 values = [pa.array(x, type=kind) for x, kind in zip(kernel(texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + values, names=names)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return source.mapInArrow(run, schema)

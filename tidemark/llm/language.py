@@ -41,7 +41,7 @@ def folded(text: bytes) -> np.ndarray:
 class Model:
     """Frozen context trees of all languages.
 
-    ``bits3[c, l]`` is the code length of symbol d after symbols a b, for c = (a, b, d), from contexts of two symbols and shorter; ``escape[c, l]`` is that of leaving the context c of three symbols (0 if it never occurred); ``bits4`` has a row for each sequence of four symbols that occurred, numbered by ``rows`` (0: none did), not a number for languages in which it didn't.
+    ``bits3[c, l]`` is the code length of symbol d after symbols a b, for c = (a, b, d), from contexts of two symbols and shorter; ``escape[c, l]`` is that of leaving the context c of three symbols (0 if it never occurred); ``bits4`` has a row for each sequence of four symbols that occurred, numbered by ``rows`` (0: none did), not a number for languages in which it didn't. For look-up ``rows`` has a line of symbols for each context of three that occurred, numbered by ``lines`` (0: an empty line).
     """
 
     languages: tuple[str, ...]
@@ -50,6 +50,7 @@ class Model:
     escape: np.ndarray
     rows: np.ndarray
     bits4: np.ndarray
+    lines: np.ndarray | None = None
 
     def code_lengths(self, text: bytes) -> tuple[np.ndarray, int]:
         """Bits that each language's tree needs for the text, and the number of symbols coded."""
@@ -61,7 +62,7 @@ class Model:
             context = (part[:-3] * ALPHABET + part[1:-2]) * ALPHABET + part[2:-1]
             lower = self.bits3[(part[1:-2] * ALPHABET + part[2:-1]) * ALPHABET + part[3:]]
             total += (self.escape[context] + lower).sum(axis=0, dtype=np.float64)
-            row = self.rows[context * ALPHABET + part[3:]]
+            row = self.rows[self.lines[context] * ALPHABET + part[3:]]
             seen = np.flatnonzero(row)
             exact = self.bits4[row[seen]]
             total += np.where(np.isnan(exact), 0, exact - self.escape[context[seen]] - lower[seen]).sum(axis=0, dtype=np.float64)
@@ -133,9 +134,12 @@ class Scorer:
     """A model with its sequences of four symbols laid out for look-up."""
 
     def __init__(self, model: Model):
-        rows = np.zeros(ALPHABET**4, dtype=np.int32)
-        rows[model.rows] = np.arange(1, len(model.rows) + 1)
-        self.model = Model(model.languages, model.symbols, model.bits3, model.escape, rows, model.bits4)
+        contexts = np.unique(model.rows // ALPHABET)
+        lines = np.zeros(ALPHABET**3, dtype=np.int64)
+        lines[contexts] = np.arange(1, len(contexts) + 1)
+        rows = np.zeros((len(contexts) + 1) * ALPHABET, dtype=np.int32)
+        rows[lines[model.rows // ALPHABET] * ALPHABET + model.rows % ALPHABET] = np.arange(1, len(model.rows) + 1)
+        self.model = Model(model.languages, model.symbols, model.bits3, model.escape, rows, model.bits4, lines)
 
     def __call__(self, texts: list[bytes]) -> list:
         found, scores, rates = [], [], []

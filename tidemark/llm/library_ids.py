@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import parts_of, quoted
+from .batches import few_at_once, parts_of, quoted
 from .bpe import byte_characters
 from .words import WordMemory
 
@@ -92,11 +92,13 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no ids but ``end_id``. Executors read ``path``.
     """
     kind = f"<u{bits // 8}"
+    few_at_once(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts_of(batch, 1, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), loaded(path).encode_slice(part.column(1), end_id, kind)], names=[id_col, "ids"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     rows = df.select(F.col(quoted(id_col)).alias(id_col), F.col(quoted(text_col)).cast("binary").alias("__text"))
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("ids", T.BinaryType())]))

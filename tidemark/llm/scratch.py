@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings of a write: a query's shuffle files go when it has ended, and Python gets few documents at once.
-SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Setting by which a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FOLDERS: dict[str, str] = {}
 
 
@@ -49,14 +49,12 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: its lineage ends here, and the shuffle files of the write are no longer needed."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = {k: spark.conf.get(k) for k in SETTINGS}
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
-        for k, v in SETTINGS.items():
-            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

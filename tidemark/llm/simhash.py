@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import map_texts, quoted, slices
+from .batches import few_at_once, map_texts, quoted, slices
 from .components import smallest_reachable
 from .scratch import drop_table, write_table
 
@@ -257,6 +257,7 @@ def alike_links(texts: DataFrame, rows: DataFrame, width: int = 5, at_least: flo
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8) -> DataFrame:
     """A row for each distinct text of ``df``: ``copy`` (a digest of the text), ``first`` (``none``, ``id``, ``row``: the least of its rows, null ids last) and ``root``, the same for all copies and near copies: texts whose sets of shingles have a Jaccard likeness of ``at_least``, and theirs in turn. Texts without words are one class."""
+    few_at_once(df.sparkSession)
     kept = keyed(df, text_col)
     rows = kept.select(F.col(quoted(id_col)).alias("__id"), "__row", "__copy", F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary").alias("__text"))
     texts = distinct_texts(rows, width, at_least)
