@@ -187,3 +187,35 @@ def test_stateful_revisions(spark, tmp_path):
     frame(spark, [("a", dt.datetime(2020, 5, 12), 120.0), ("a", dt.datetime(2020, 6, 12), 117.0), ("a", dt.datetime(2020, 7, 12), 113.0), ("b", dt.datetime(2020, 7, 12), None)], "k string, t timestamp, v double").coalesce(1).write.parquet(path)
     got = jobs.replay(spark, path, lambda df: jobs.revisions(df, "k", "t", "v"), "append")
     assert [r.revision for r in got.where("k = 'a'").orderBy("t").collect()] == [None, -3.0, -4.0]
+
+
+def test_values_out_of_range_become_the_bound(spark):
+    from tidemark.operators import features
+
+    registry = features.Registry()
+    registry.add("f", low=-1.0, high=2.0)(lambda df: df)
+    registry.add("g", high=0.5)(lambda df: df)
+    rows = spark.createDataFrame([("a", 1, "f", v) for v in (-5.0, 0.25, 9.0, None, float("nan"))], "entity string, period int, feature string, value double")
+    assert sorted(r.value for r in registry.spine(rows).collect()) == [-5.0, -1.0, 0.25, 0.25, 0.5, 2.0]
+
+
+def test_alerts_that_held_so_often_so_far(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import evaluate
+
+    held = [True, False, True, None, True, False, True]
+    rows = spark.createDataFrame([("a", k, x) for k, x in enumerate(held)], "g string, k int, x boolean")
+    alerts = lambda **more: [r.persistent_alert for r in evaluate.persistent(rows, ["g"], "k", F.col("x"), 2, **more).orderBy("k").collect()]
+    assert alerts() == [False, False, True, False, True, False, True]
+    assert alerts(consecutive=True) == [False] * 7
+
+
+def test_old_events_and_repeated_rows_of_a_peak(spark):
+    from tidemark.operators import windows
+
+    rows = spark.createDataFrame([("a", "2024-01-31")] * 2 + [("a", "2024-01-01"), ("b", "2024-01-31"), ("a", None)], "k string, day string")
+    events = spark.createDataFrame([("a", "2024-01-01", 8.0), ("a", "2024-01-30", 0.25), ("a", "2024-02-09", 99.0), ("a", None, 99.0), ("b", "2024-01-31", -1.0)], "k string, at string, s double")
+    got = windows.decayed_peak(rows, events, ["k"], "day", "at", "s", 10.0, "peak").collect()
+    assert sorted((r.k, r.day or "", r.peak and round(r.peak, 9)) for r in got if r.peak) == [("a", "2024-01-01", 8.0), ("a", "2024-01-31", 1.0), ("a", "2024-01-31", 1.0)]
+    assert len(got) == 5

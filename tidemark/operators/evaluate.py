@@ -50,10 +50,11 @@ def best_threshold(df: DataFrame, keys: list[str], score: str, positive: Column,
     return sums.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def persistent(df: DataFrame, keys: list[str], order: str, alert: Column, rows: int) -> DataFrame:
-    """``persistent_alert``: the alert holds at this and the rows - 1 rows before."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(1 - rows, 0)
-    return df.withColumn("persistent_alert", (F.sum(F.coalesce(alert, F.lit(False)).cast("int")).over(w) == rows))
+def persistent(df: DataFrame, keys: list[str], order: str, alert: Column, rows: int, consecutive: bool = False) -> DataFrame:
+    """``persistent_alert``: the alert holds at this row and has held at ``rows`` rows of the group so far, this one included; if ``consecutive``, at the rows - 1 rows just before. A null alert doesn't hold."""
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(1 - rows if consecutive else W.unboundedPreceding, 0)
+    held = F.coalesce(alert, F.lit(False))
+    return df.withColumn("persistent_alert", held & (F.sum(held.cast("int")).over(w) >= rows))
 
 
 def correlated_pairs(df: DataFrame, columns: list[str], k: int) -> DataFrame:

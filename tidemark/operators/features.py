@@ -38,13 +38,13 @@ class Registry:
         return put
 
     def spine(self, *inputs, names: list[str] | None = None) -> DataFrame:
-        """All rows of the families: values that are null or not a number are absent, values out of a family's range too."""
+        """All rows of the families: values that are null or not a number are absent, values out of a family's range become its nearest bound."""
         frames = []
         for family in (self.families[n] for n in names or self.families):
             rows = family.build(*inputs).select(*SPINE).where(F.col("value").isNotNull() & ~F.isnan("value"))
-            rows = rows if family.low is None else rows.where(F.col("value") >= family.low)
-            rows = rows if family.high is None else rows.where(F.col("value") <= family.high)
-            frames.append(rows.withColumn("is_label", F.lit(family.label)))
+            # greatest and least pass over a bound that is null
+            clipped = F.greatest(F.least("value", F.lit(family.high).cast("double")), F.lit(family.low).cast("double"))
+            frames.append(rows.withColumn("value", clipped).withColumn("is_label", F.lit(family.label)))
         return union_all(frames)
 
 

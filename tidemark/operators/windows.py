@@ -126,14 +126,14 @@ def prior_seasons(df: DataFrame, keys: list[str], season: str, slot: str, value:
     return df.withColumns({"slot_change": F.when(ok, F.try_divide(F.col(value) - mean, F.abs(mean))), "slot_z": F.when(ok & (spread > 0), (F.col(value) - mean) / spread)})
 
 
-def decayed_peak(df: DataFrame, events: DataFrame, keys: list[str], at: str, event_at: str, severity: str, half_life_days: float, reach_days: int, out: str) -> DataFrame:
-    """For each row, the largest severity of the key's events of the last ``reach_days`` days (the row's own included), halved every ``half_life_days``.
+def decayed_peak(df: DataFrame, events: DataFrame, keys: list[str], at: str, event_at: str, severity: str, half_life_days: float, out: str) -> DataFrame:
+    """For each row, the largest severity of all the key's events up to its day (its own day included), halved every ``half_life_days``; null if there is none.
 
-    Events meet rows by key and block of ``reach_days``, so that a key's whole past never meets a row.
+    A severity halved until a day is 2 ** (log2(severity) + event's day / half-life - day / half-life), so one running maximum of the first two gives all. Repeated rows keep their number; severities that aren't positive and rows or events without a day take no part.
     """
     day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
-    left = df.withColumn("__row", F.struct(*df.columns)).withColumn("__d", day(at)).withColumn("__b", F.explode(F.array(F.floor(F.col("__d") / reach_days), F.floor(F.col("__d") / reach_days) - 1)))
-    right = events.select(*keys, F.floor(day(event_at) / reach_days).alias("__b"), day(event_at).alias("__e"), F.col(severity).alias("__s"))
-    near = (F.col("__e") <= F.col("__d")) & (F.col("__d") - F.col("__e") < reach_days)
-    joined = left.join(right, [*keys, "__b"], "left").groupBy("__row").agg(F.max(F.when(near, F.col("__s") * F.pow(F.lit(0.5), (F.col("__d") - F.col("__e")) / half_life_days))).alias(out))
-    return joined.select("__row.*", out)
+    rows = df.select(*keys, F.struct(*df.columns).alias("__row"), day(at).alias("__d"))
+    marks = events.where(F.col(severity) > 0).select(*keys, day(event_at).alias("__d"), (F.log2(severity) + day(event_at) / half_life_days).alias("__u")).where("__d is not null")
+    highest = F.max("__u").over(W.partitionBy(*keys).orderBy("__d").rangeBetween(W.unboundedPreceding, 0))
+    peaks = rows.unionByName(marks, allowMissingColumns=True).withColumn(out, F.pow(F.lit(2.0), highest - F.col("__d") / half_life_days))
+    return peaks.where("__row is not null").select("__row.*", out)

@@ -110,10 +110,10 @@ def independent_windows(spark, sf_dir):
     return windows.independent_windows(table(spark, sf_dir, "events"), ["user_id"], "ts", 7, "n_windows")
 
 
-@query("SELECT a.event_id, ROUND(MAX(b.value * pow(0.5, date_diff('day', CAST(b.ts AS DATE), CAST(a.ts AS DATE)) / 3.0)), 6) AS peak FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND CAST(b.ts AS DATE) <= CAST(a.ts AS DATE) AND date_diff('day', CAST(b.ts AS DATE), CAST(a.ts AS DATE)) < 10 AND b.event_type = 'error' GROUP BY 1")
+@query("SELECT a.event_id, ROUND(MAX(b.value * pow(0.5, date_diff('day', CAST(b.ts AS DATE), CAST(a.ts AS DATE)) / 3.0)), 6) AS peak FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND CAST(b.ts AS DATE) <= CAST(a.ts AS DATE) AND b.event_type = 'error' AND b.value > 0 GROUP BY 1")
 def decayed_peak(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    found = windows.decayed_peak(events.select("event_id", "user_id", "ts"), events.where("event_type = 'error'"), ["user_id"], "ts", "ts", "value", 3.0, 10, "peak")
+    found = windows.decayed_peak(events.select("event_id", "user_id", "ts"), events.where("event_type = 'error'"), ["user_id"], "ts", "ts", "value", 3.0, "peak")
     return found.select("event_id", F.round("peak", 6).alias("peak"))
 
 
@@ -205,9 +205,9 @@ def best_f2_threshold(spark, sf_dir):
     return rows.select("lang", "threshold", F.round("f_score", 6).alias("f_score"))
 
 
-@query(f"WITH {MONTHLY}, z AS (SELECT nation, month, {_z('12 PRECEDING AND 1 PRECEDING', 6)} AS z FROM monthly) SELECT nation, month, SUM(CASE WHEN z > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY nation ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS persistent_alert FROM z")
+@query(f"WITH {MONTHLY}, z AS (SELECT nation, month, {_z('12 PRECEDING AND 1 PRECEDING', 6)} AS z FROM monthly) SELECT nation, month, COALESCE(z > 0, false) AND SUM(CASE WHEN z > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY nation, year(month) ORDER BY month ROWS UNBOUNDED PRECEDING) >= 3 AS persistent_alert FROM z")
 def persistent_alerts(spark, sf_dir):
-    return evaluate.persistent(trailing_z(spark, sf_dir), BY, "month", F.col("z") > 0, 3).select("nation", "month", "persistent_alert")
+    return evaluate.persistent(trailing_z(spark, sf_dir).withColumn("year", F.year("month")), [*BY, "year"], "month", F.col("z") > 0, 3).select("nation", "month", "persistent_alert")
 
 
 _PAIRS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -295,7 +295,7 @@ def _summer_value(rows):
     return rows.where(F.month("month").isin(6, 7, 8)).select(F.col("nation").alias("entity"), F.col("month").alias("period"), F.lit("summer_value").alias("feature"), "value")
 
 
-_SPINE = f"{MONTHLY}, spine AS (SELECT nation AS entity, month AS period, 'order_value' AS feature, value, false AS is_label FROM monthly WHERE value >= 0 UNION ALL SELECT nation, month, 'order_count', CAST(n AS DOUBLE), false FROM monthly UNION ALL SELECT nation, month, 'summer_value', value, true FROM monthly WHERE month(month) IN (6, 7, 8))"
+_SPINE = f"{MONTHLY}, spine AS (SELECT nation AS entity, month AS period, 'order_value' AS feature, GREATEST(value, 0) AS value, false AS is_label FROM monthly WHERE value IS NOT NULL UNION ALL SELECT nation, month, 'order_count', CAST(n AS DOUBLE), false FROM monthly UNION ALL SELECT nation, month, 'summer_value', value, true FROM monthly WHERE month(month) IN (6, 7, 8))"
 
 
 @query(f"WITH {_SPINE} SELECT * FROM spine")
