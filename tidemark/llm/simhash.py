@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,8 @@ from .components import smallest_reachable
 from .scratch import drop_table, write_table
 
 BITS = 64
-#: Of near copies: texts sampled for common shingles, in how many of them a shingle is common, and how many of these are known at most.
-SAMPLE, LEAST_COMMON, MOST_COMMON = 10_000, 5, 100_000
+#: Of near copies: the share of a set that is kept to count shingles and take prefixes from; a prefix needs a fifth of the set at 0.8, and as much again may be common.
+LEAD = 0.45
 #: Keys (24 bytes) that are sent to every executor at most; more are joined by a shuffle.
 MOST_SENT = 250_000
 #: Classes in which the shingles of a text are counted, to bound the overlap of two texts.
@@ -137,35 +137,8 @@ def joined_with_few(rows: DataFrame, few: DataFrame, on: list[str], how: str) ->
     return rows.join(F.broadcast(few) if few.count() <= MOST_SENT else few, on, how)
 
 
-def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of many of a sample of about SAMPLE rows (``__row``, ``__text``), in order, and in how many: at most MOST_COMMON. They only tell which shingles are to come last; no result depends on them."""
-    every = max(1, rows.count() // SAMPLE)
-
-    def run(batches):
-        for batch in batches:
-            for _, texts in slices(batch, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, width) for t in texts]))], names=["s"])
-
-    found = rows.where(F.pmod("__row", F.lit(every)) == 0).select("__text").mapInArrow(run, "s long")
-    counts = found.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COMMON)
-    known = sorted((r.s, r.n) for r in counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect())
-    return np.array([s for s, _ in known], dtype=np.int64), np.array([n for _, n in known], dtype=np.int64)
-
-
-def prefix(shingles: np.ndarray, at_least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first of a set in an order that is the same for all sets (common ones last): so many that two sets of a likeness of ``at_least`` have one of them in common."""
-    n = len(shingles)
-    if n and len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        many = np.where(common[at] == shingles, counts[at], 0)
-        if many.any():
-            shingles = shingles[np.lexsort((shingles, many))]
-    return shingles[: n - math.ceil(at_least * n - SLACK) + 1]
-
-
-def distinct_texts(rows: DataFrame, width: int, at_least: float) -> DataFrame:
-    """One row for each distinct text of ``rows`` (``__id``, ``__row``, ``__copy``, ``__text``): ``node`` (a number), ``copy``, ``first`` (the least of its rows: whether the id is null, the id and the hash of the row), ``size`` (distinct shingles), ``prefix``, ``counts`` (shingles by the last bits of their hashes; null if one is over 127) and ``simhash``. Texts themselves are not moved; a task looks at a copy of what it has seen once."""
-    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
+def distinct_texts(rows: DataFrame, width: int) -> DataFrame:
+    """One row for each distinct text of ``rows`` (``__id``, ``__row``, ``__copy``, ``__text``): ``node`` (a number), ``copy``, ``first`` (the least of its rows: whether the id is null, the id and the hash of the row), ``size`` (distinct shingles), ``lead`` (the hashes of the first LEAD of them), ``counts`` (shingles by the last bits of their hashes; null if one is over 127) and ``simhash``. Texts themselves are not moved; a task looks at a copy of what it has seen once."""
     ids = rows.select("__id", "__row").schema
 
     def run(batches):
@@ -173,41 +146,66 @@ def distinct_texts(rows: DataFrame, width: int, at_least: float) -> DataFrame:
         for batch in batches:
             for part, texts in slices(batch, 3):
                 copies = part.column(2).to_pylist()
-                sizes, prefixes, counts, marks = ([None] * len(texts) for _ in range(4))
+                sizes, leads, counts, marks = ([None] * len(texts) for _ in range(4))
                 for k, (copy, text) in enumerate(zip(copies, texts, strict=True)):
                     if copy not in seen:
                         seen.add(copy)
                         hashes = shingle_hashes(text, width, 0)
                         shingles = np.unique(hashes.view(np.int64))
-                        sizes[k], prefixes[k] = len(shingles), prefix(shingles, at_least, *common.value)
+                        sizes[k], leads[k] = len(shingles), shingles[: math.ceil(LEAD * len(shingles))]
                         of_class = np.bincount(shingles & (CLASSES - 1), minlength=CLASSES)
                         counts[k] = of_class.astype(np.int8) if of_class.max() < 128 else None
                         marks[k] = int(np.uint64(votes_of(hashes)).astype(np.int64))
-                made = [pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int8())), pa.array(marks, pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *made], names=["__id", "__row", "__copy", "size", "prefix", "counts", "simhash"])
+                made = [pa.array(sizes, pa.int32()), pa.array(leads, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int8())), pa.array(marks, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *made], names=["__id", "__row", "__copy", "size", "lead", "counts", "simhash"])
+        pa.default_memory_pool().release_unused()
 
-    kinds = [("__copy", T.BinaryType()), ("size", T.IntegerType()), ("prefix", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.ByteType())), ("simhash", T.LongType())]
+    kinds = [("__copy", T.BinaryType()), ("size", T.IntegerType()), ("lead", T.ArrayType(T.LongType())), ("counts", T.ArrayType(T.ByteType())), ("simhash", T.LongType())]
     looked = rows.select("__id", "__row", "__copy", "__text").mapInArrow(run, T.StructType([*ids, *(T.StructField(*k) for k in kinds)]))
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("first")
-    texts = looked.groupBy("__copy").agg(first, F.max("size").alias("size"), F.first("prefix", True).alias("prefix"), F.first("counts", True).alias("counts"), F.max("simhash").alias("simhash"))
-    return write_table(texts.select(F.monotonically_increasing_id().alias("node"), F.col("__copy").alias("copy"), "first", "size", "prefix", "counts", "simhash"), "texts")
+    texts = looked.groupBy("__copy").agg(first, F.max("size").alias("size"), F.first("lead", True).alias("lead"), F.first("counts", True).alias("counts"), F.max("simhash").alias("simhash"))
+    return write_table(texts.select(F.monotonically_increasing_id().alias("node"), F.col("__copy").alias("copy"), "first", "size", "lead", "counts", "simhash"), "texts")
+
+
+def sets_of(nodes: DataFrame, texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``node`` and ``shingles`` (the whole set, in order) of those texts, from the first row of each, written to the shared folder."""
+    wanted = write_table(texts.join(nodes, "node", "left_semi").select("node", F.col("copy").alias("__copy"), F.col("first.row").alias("__row")), "wanted")
+    few = joined_with_few(rows.select("__copy", "__row", "__text"), wanted, ["__copy", "__row"], "inner").dropDuplicates(["node"])
+    sets = write_table(map_texts(few, lambda: lambda x: [[shingle_set(t, width) for t in x]], [("shingles", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], "__text", ("node",)), "sets")
+    drop_table(wanted)
+    return sets
+
+
+def prefixes(texts: DataFrame, rows: DataFrame, width: int, at_least: float, bucket: int) -> DataFrame:
+    """``node``, ``size`` and ``prefix`` of every text: the first shingles of its set in an order that is the same for all sets, so many that two sets of a likeness of ``at_least`` have one of them in common.
+
+    Common shingles, those in the leads of more than ``bucket`` texts, come last, the most common at the end; all others go by their hashes. So a passage that many texts share is in the prefixes of those only that hold little else. Where the lead has too few others, the whole set is put in order.
+    """
+    lead = texts.select("node", F.explode("lead").alias("shingle"))
+    common = write_table(lead.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket), "common")
+    late = lambda held: joined_with_few(held, common, ["shingle"], "inner").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("late"))
+    length = (F.col("size") - F.ceil(at_least * F.col("size") - SLACK) + 1).cast("int")
+    last = F.coalesce("late.shingle", F.array().cast("array<long>"))
+    own = F.slice(F.array_except("lead", last), F.lit(1), length)
+    made = write_table(texts.where("size > 0").select("node", "size", "lead").join(late(lead), "node", "left").select("node", "size", own.alias("prefix"), (F.size(own) < length).alias("short")), "prefixes")
+    short = made.where("short").select("node", "size")
+    sets = sets_of(short, texts, rows, width)
+    whole = sets.join(short, "node").join(late(sets.select("node", F.explode("shingles").alias("shingle"))), "node", "left")
+    ordered = F.concat(F.array_except("shingles", last), last)
+    return made.where("not short").select("node", "size", "prefix").unionByName(whole.select("node", "size", F.slice(ordered, F.lit(1), length).alias("prefix")))
 
 
 def alike(pairs: DataFrame, texts: DataFrame, rows: DataFrame, width: int, at_least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b; nodes of ``texts``) whose whole sets of shingles have a likeness of ``at_least``, written to the shared folder. Two sets have no more in common than the sum over classes of hashes of the lesser count: pairs that cannot be alike by that go first. The sets come from the first row of each text."""
+    """Those of ``pairs`` (a, b; nodes of ``texts``) whose whole sets of shingles have a likeness of ``at_least``, written to the shared folder. Two sets have no more in common than the sum over classes of hashes of the lesser count: pairs that cannot be alike by that go first."""
     of = lambda name: texts.select(F.col("node").alias(name), F.struct("size", "counts").alias(f"of_{name}"))
     most = F.coalesce(F.aggregate(F.zip_with("of_a.counts", "of_b.counts", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x), F.least("of_a.size", "of_b.size"))
     bounded = pairs.distinct().join(of("a"), "a").join(of("b"), "b").withColumn("most", most)
     pairs = write_table(bounded.where(F.col("most") >= at_least * (F.col("of_a.size") + F.col("of_b.size") - F.col("most")) - SLACK).select("a", "b"), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = write_table(texts.join(nodes, "node").select("node", F.col("copy").alias("__copy"), F.col("first.row").alias("__row")), "wanted")
-    few = joined_with_few(rows.select("__copy", "__row", "__text"), wanted, ["__copy", "__row"], "inner")
-    found = map_texts(few, lambda: lambda x: [[shingle_set(t, width) for t in x]], [("shingles", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], "__text", ("node",))
-    sets = write_table(found, "sets")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, rows, width)
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
     links = write_table(both.where(F.col("shared") >= at_least * (F.size("of_a") + F.size("of_b") - F.col("shared")) - SLACK).select("a", "b"), "links")
-    for done in (pairs, wanted, sets):
+    for done in (pairs, sets):
         drop_table(done)
     return links
 
@@ -215,7 +213,7 @@ def alike(pairs: DataFrame, texts: DataFrame, rows: DataFrame, width: int, at_le
 def alike_links(texts: DataFrame, rows: DataFrame, width: int = 5, at_least: float = 0.8, bucket: int = 16) -> DataFrame:
     """Links (a, b) between nodes of ``texts`` whose transitive closure joins all texts with a likeness of ``at_least``; all are measured on whole sets of shingles.
 
-    First come SimHashes: nodes with equal fingerprints, or with fingerprints that their deletion variants link (``links``), if they are alike. A fingerprint says little about pairs that are just alike, so all others are found by prefixes of the sets: two sets that are alike share a shingle of both prefixes, and at the first that they share what follows must be long enough for the overlap (``fits``). Shingles of at most ``bucket`` prefixes pair all their texts. In a more common one all texts meet its centre, the text with the fewest rarer shingles; only texts out of the centre's class then meet the others. Pairs that are of one class already are not measured.
+    First come SimHashes: nodes with equal fingerprints, or with fingerprints that their deletion variants link (``links``), if they are alike. A fingerprint says little about pairs that are just alike, so all others are found by prefixes of the sets: two sets that are alike share a shingle of both prefixes, and at the first that they share what follows must be long enough for the overlap (``fits``). A shingle before which all its texts share the same one goes: its pairs meet there. Shingles of at most ``bucket`` prefixes pair all their texts. In a more common one all texts meet its centre, the text with the fewest rarer shingles; only texts out of the centre's class then meet the others. Pairs that are of one class already are not measured.
     """
     worded = texts.where("size > 0")
     reps = write_table(worded.groupBy("simhash").agg(F.min("node").alias("rep")), "values")
@@ -223,10 +221,14 @@ def alike_links(texts: DataFrame, rows: DataFrame, width: int = 5, at_least: flo
     found = alike(same.unionByName(links(reps)), texts, rows, width, at_least)
     roots = smallest_reachable(found)
 
-    index = worded.select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
+    index = write_table(prefixes(texts, rows, width, at_least, bucket).select("node", "size", F.posexplode("prefix").alias("pos", "shingle")), "index")
     counts = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    before = F.lag("shingle").over(Window.partitionBy("node").orderBy("pos"))
+    shared = write_table(index.join(counts, "shingle").withColumn("before", before), "shared")
+    first = shared.groupBy("shingle").agg((F.count("before") == F.count(F.lit(1))).alias("all"), F.min("before").alias("low"), F.max("before").alias("high")).where("not all or low <> high").select("shingle")
     named = roots.withColumnRenamed("root", "own")
-    members = write_table(index.join(counts, "shingle").join(named, "node", "left").withColumn("own", F.coalesce("own", "node")), "members")
+    members = write_table(shared.drop("before").join(first, "shingle").join(named, "node", "left").withColumn("own", F.coalesce("own", "node")), "members")
+    drop_table(shared)
     share = at_least / (1 + at_least)
 
     def fits(one: str, other: str) -> Column:
@@ -241,7 +243,8 @@ def alike_links(texts: DataFrame, rows: DataFrame, width: int = 5, at_least: flo
     centred = write_table(many.join(centres, "shingle"), "crowd")
     around = centred.where((F.col("own") != F.col("other_own")) & fits("", "other_")).select(*pair("node", "other_node"))
     found = write_table(found.unionByName(alike(near.unionByName(around), texts, rows, width, at_least)), "links")
-    drop_table(members)
+    for done in (members, index):
+        drop_table(done)
 
     again = smallest_reachable(found)
     of = lambda name, root: again.select(F.col("node").alias(name), F.col("root").alias(root))
@@ -260,7 +263,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few_at_once(df.sparkSession)
     kept = keyed(df, text_col)
     rows = kept.select(F.col(quoted(id_col)).alias("__id"), "__row", "__copy", F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary").alias("__text"))
-    texts = distinct_texts(rows, width, at_least)
+    texts = distinct_texts(rows, width)
     roots = smallest_reachable(alike_links(texts, rows, width, at_least))
     root = F.when(F.col("size") == 0, F.lit(-1)).otherwise(F.coalesce("root", "node"))
     return write_table(texts.select("node", "copy", "first", "size").join(roots, "node", "left").select("copy", "first", root.alias("root")), "classes")
