@@ -210,10 +210,40 @@ def alike(pairs: DataFrame, texts: DataFrame, rows: DataFrame, width: int, at_le
     return links
 
 
+def apart_alike(members: DataFrame, texts: DataFrame, rows: DataFrame, width: int, at_least: float) -> DataFrame:
+    """Pairs (a, b), among them all alike texts of different classes (``own``) that have a reference in common; ``members`` has ``ref``, ``node``, ``own``, ``ref_own``.
+
+    Let d(x) be the shingles that x or the reference has and the other hasn't. Two sets x and y differ by d(x) less d(y) and d(y) less d(x), and are alike exactly if that is at most a share (1 - at_least) / (1 + at_least) of their sizes together, so d(x) and d(y) must have in common half of what their sizes exceed it by. The same share tells which texts are alike to the reference: two that are meet in it. Where x is not, d(x) exceeds the share of x and the reference, hence any y alike to it has over (d(y) - share * (size of y - size of the reference)) / 2 of d(x): each d has a prefix of which one shingle must be in the other's. Rare ones come first, so copies of one text that were edited apart have their own edits there and make no pairs.
+    """
+    share = (1 - at_least) / (1 + at_least)
+    sets = sets_of(members.select(F.explode(F.array("node", "ref")).alias("node")).distinct(), texts, rows, width)
+    of_ref = sets.select(F.col("node").alias("ref"), F.col("shingles").alias("of_ref"))
+    apart = F.concat(F.array_except("shingles", "of_ref"), F.array_except("of_ref", "shingles"))
+    held = members.join(sets, "node").join(of_ref, "ref").select("ref", "node", "own", "ref_own", F.size("shingles").alias("size"), F.size("of_ref").alias("ref_size"), apart.alias("apart"))
+    held = write_table(held.withColumn("gap", F.size("apart")).withColumn("far", F.col("gap") > share * (F.col("size") + F.col("ref_size")) + SLACK), "apart")
+    least = F.greatest(F.lit(1), F.ceil((F.col("gap") - share * F.when(F.col("far"), F.col("size") + F.col("ref_size")).otherwise(F.col("size") - F.col("ref_size"))) / 2 - SLACK))
+
+    parts = held.select("ref", "node", F.explode("apart").alias("shingle"))
+    often = parts.groupBy("ref", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    late = parts.join(often, ["ref", "shingle"]).groupBy("ref", "node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("late"))
+    placed = held.join(late, ["ref", "node"]).withColumn("first", F.col("gap") - F.size("late"))
+    prefix = F.slice("late.shingle", F.lit(1), F.greatest(F.col("gap") - least + 1 - F.col("first"), F.lit(0)).cast("int"))
+    index = write_table(placed.select("ref", "node", "own", "size", "gap", "far", "first", F.posexplode(prefix).alias("at", "shingle")).withColumn("pos", F.col("first") + F.col("at")).drop("first", "at"), "index")
+    other = index.select("ref", "shingle", *(F.col(c).alias(f"other_{c}") for c in ("node", "own", "size", "gap", "far", "pos")))
+    needed = F.greatest(F.lit(1), (F.col("gap") + F.col("other_gap") - share * (F.col("size") + F.col("other_size"))) / 2 - SLACK)
+    fits = F.least(F.col("gap") - F.col("pos"), F.col("other_gap") - F.col("other_pos")) >= needed
+    met = index.join(other, ["ref", "shingle"]).where((F.col("node") < F.col("other_node")) & (F.col("own") != F.col("other_own")) & (F.col("far") | F.col("other_far")) & fits)
+    beside = held.where("not far and own <> ref_own").select(F.least("ref", "node").alias("a"), F.greatest("ref", "node").alias("b"))
+    pairs = write_table(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).unionByName(beside).distinct(), "pairs")
+    for done in (sets, held, index):
+        drop_table(done)
+    return pairs
+
+
 def alike_links(texts: DataFrame, rows: DataFrame, width: int = 5, at_least: float = 0.8, bucket: int = 16) -> DataFrame:
     """Links (a, b) between nodes of ``texts`` whose transitive closure joins all texts with a likeness of ``at_least``; all are measured on whole sets of shingles.
 
-    First come SimHashes: nodes with equal fingerprints, or with fingerprints that their deletion variants link (``links``), if they are alike. A fingerprint says little about pairs that are just alike, so all others are found by prefixes of the sets: two sets that are alike share a shingle of both prefixes, and at the first that they share what follows must be long enough for the overlap (``fits``). A shingle before which all its texts share the same one goes: its pairs meet there. Shingles of at most ``bucket`` prefixes pair all their texts. In a more common one all texts meet its centre, the text with the fewest rarer shingles; only texts out of the centre's class then meet the others. Pairs that are of one class already are not measured.
+    First come SimHashes: nodes with equal fingerprints, or with fingerprints that their deletion variants link (``links``), if they are alike. A fingerprint says little about pairs that are just alike, so all others are found by prefixes of the sets: two sets that are alike share a shingle of both prefixes, and at the first that they share what follows must be long enough for the overlap (``fits``). A shingle before which all its texts share the same one goes: its pairs meet there. Shingles of at most ``bucket`` prefixes pair all their texts. In a more common one all texts meet its centre, the text with the fewest rarer shingles. Where its texts are of several classes after that, they are held against one of them by what sets it apart from each (``apart_alike``), so that a crowd of texts that differ makes no pairs. Pairs that are of one class already are not measured.
     """
     worded = texts.where("size > 0")
     reps = write_table(worded.groupBy("simhash").agg(F.min("node").alias("rep")), "values")
@@ -235,9 +265,9 @@ def alike_links(texts: DataFrame, rows: DataFrame, width: int = 5, at_least: flo
         return F.least(F.col(f"{one}size") - F.col(f"{one}pos"), F.col(f"{other}size") - F.col(f"{other}pos")) >= share * (F.col(f"{one}size") + F.col(f"{other}size")) - SLACK
 
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    renamed = lambda df: df.select("shingle", *(F.col(c).alias(f"other_{c}") for c in df.columns if c != "shingle"))
     few = members.where(F.col("n") <= bucket).select("shingle", "node", "size", "pos", "own")
-    near = few.join(renamed(few), "shingle").where((F.col("node") < F.col("other_node")) & (F.col("own") != F.col("other_own")) & fits("", "other_")).select(*pair("node", "other_node"))
+    others = few.select("shingle", *(F.col(c).alias(f"other_{c}") for c in few.columns if c != "shingle"))
+    near = few.join(others, "shingle").where((F.col("node") < F.col("other_node")) & (F.col("own") != F.col("other_own")) & fits("", "other_")).select(*pair("node", "other_node"))
     many = members.where(F.col("n") > bucket).select("shingle", "node", "size", "pos", "own")
     centres = many.groupBy("shingle").agg(F.min(F.struct("pos", "node", "size", "own")).alias("c")).select("shingle", *(F.col(f"c.{c}").alias(f"other_{c}") for c in ("pos", "node", "size", "own")))
     centred = write_table(many.join(centres, "shingle"), "crowd")
@@ -247,14 +277,15 @@ def alike_links(texts: DataFrame, rows: DataFrame, width: int = 5, at_least: flo
         drop_table(done)
 
     again = smallest_reachable(found)
-    of = lambda name, root: again.select(F.col("node").alias(name), F.col("root").alias(root))
-    crowd = centred.select("shingle", "node", "size", "pos", F.col("other_node").alias("centre")).join(of("node", "own"), "node", "left").join(of("centre", "main"), "centre", "left")
-    crowd = crowd.withColumns({"own": F.coalesce("own", "node"), "main": F.coalesce("main", "centre")})
-    crowd = write_table(crowd.select("shingle", "node", "size", "pos", "own", (F.col("own") != F.col("main")).alias("out")), "crowd")
-    left = crowd.where("out").join(renamed(crowd), "shingle").where((F.col("own") != F.col("other_own")) & (~F.col("other_out") | (F.col("node") < F.col("other_node"))) & fits("", "other_"))
-    links_left = alike(left.select(*pair("node", "other_node")), texts, rows, width, at_least)
-    drop_table(centred)
-    drop_table(crowd)
+    crowd = centred.select("shingle", "node").join(again.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    mixed = crowd.groupBy("shingle").agg((F.min("own") != F.max("own")).alias("mixed")).where("mixed").select("shingle")
+    crowd = write_table(crowd.join(mixed, "shingle"), "crowd")
+    times = crowd.groupBy("node").agg(F.count(F.lit(1)).alias("times"))
+    refs = crowd.join(times, "node").groupBy("shingle").agg(F.max(F.struct("times", (-F.col("node")).alias("least"), "own")).alias("r")).select("shingle", (-F.col("r.least")).alias("ref"), F.col("r.own").alias("ref_own"))
+    members = write_table(crowd.join(refs, "shingle").select("ref", "node", "own", "ref_own").distinct(), "members")
+    links_left = alike(apart_alike(members, texts, rows, width, at_least), texts, rows, width, at_least)
+    for done in (centred, crowd, members):
+        drop_table(done)
     return found.unionByName(links_left)
 
 
