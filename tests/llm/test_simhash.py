@@ -167,3 +167,27 @@ def test_all_copies_with_passages_added_cut_or_changed(spark):
     want = joined(sets)
     assert sum(want[k] != k for k in want) > 50
     assert {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, texts, list(range(len(texts))))).collect()} == want
+
+
+def test_texts_held_against_a_reference(spark):
+    """All that are alike are joined whichever text is the reference, and copies edited apart make few pairs."""
+    rnd = random.Random(12)
+    base = words_of(rnd, 150)
+    edited = lambda at, n: [words_of(rnd, 1)[0] if i in rnd.sample(range(len(at)), n) else w for i, w in enumerate(at)]
+    second = edited(base, 12)
+    lists = [base, second, base[:110], base[30:], *(edited(base, k % 15) for k in range(60)), *(edited(second, k % 5) for k in range(30)), *(base[:100] + words_of(rnd, k) for k in range(40))]
+    texts = [" ".join(x) for x in lists] + [" ".join(words_of(rnd, 40)), "one", ""]
+    kept = simhash.keyed(documents(spark, texts, list(range(len(texts)))))
+    rows = kept.select(F.col("doc_id").alias("__id"), "__row", "__copy", F.col("text").cast("binary").alias("__text"))
+    table = simhash.distinct_texts(rows, 5)
+    of_text = {r.id: r.node for r in table.select("first.id", "node").collect()}
+    want = joined([simhash.shingle_set(texts[k].encode(), 5) for k in sorted(of_text) if texts[k]])
+    worded = table.where("size > 0")
+    for k in (0, 1, 70, len(texts) - 3):
+        members = worded.select(F.lit(of_text[k]).alias("ref"), "node", F.col("node").alias("own"), F.lit(of_text[k]).alias("ref_own"))
+        pairs = simhash.apart_alike(members, table, rows, 5, 0.8)
+        assert k or pairs.count() < len(texts) ** 2 / 8
+        roots = {r.node: r.root for r in smallest_reachable(simhash.alike(pairs, table, rows, 5, 0.8)).collect()}
+        ids = [i for i in sorted(of_text) if texts[i]]
+        got = [roots.get(of_text[i], of_text[i]) for i in ids]
+        assert all((got[a] == got[b]) == (want[a] == want[b]) for a in range(len(ids)) for b in range(a))
