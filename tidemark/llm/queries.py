@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, id_files, language, library_ids, packing, quality, secrets, simhash, sketches, surrogates
+from . import bpe, hamming, id_files, language, library_ids, packing, periodic, quality, resampling, secrets, simhash, sketches, surrogates
 from .labelled import remainder
 
 
@@ -74,7 +74,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_surrogates, op4_fingerprints, op5_language, op6_quality_rules, op7_simhash, op8_id_files, op9_packing, op10_quality)}
+def op11_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.near_vectors(read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(read(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_bpe, op3_surrogates, op4_fingerprints, op5_language, op6_quality_rules, op7_simhash, op8_id_files, op9_packing, op10_quality, op11_hamming, op12_runs, op13_resample)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
