@@ -55,7 +55,7 @@ class Codes:
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
         self.bits = min(self.size, MOST_BITS)
-        self.axes = np.linalg.svd(centred, full_matrices=True)[2][: self.bits].T if self.size > 1 else np.ones((1, 1))
+        self.axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, : self.bits]
         flat = centred @ self.axes
         others = sample[rng.permutation(len(sample))]
         noise = rng.standard_normal(sample.shape)
