@@ -111,7 +111,7 @@ def test_graph_with_a_cycle(spark):
     assert [r.node for r in graph.roots(edges).collect()] == ["a"]
     got = {r.node: r.depth for r in graph.reachable(edges, frame(spark, [("a",)], "node string"), 5).collect()}
     assert got == {"b": 1, "c": 2, "d": 3}
-    assert sorted(r.node for r in graph.on_cycles(edges, 4).collect()) == ["b", "c"]
+    assert sorted(r.node for r in graph.on_cycles(edges).collect()) == ["b", "c"]
 
 
 def test_rules_need_all_or_some(spark):
@@ -216,6 +216,6 @@ def test_old_events_and_repeated_rows_of_a_peak(spark):
 
     rows = spark.createDataFrame([("a", "2024-01-31")] * 2 + [("a", "2024-01-01"), ("b", "2024-01-31"), ("a", None)], "k string, day string")
     events = spark.createDataFrame([("a", "2024-01-01", 8.0), ("a", "2024-01-30", 0.25), ("a", "2024-02-09", 99.0), ("a", None, 99.0), ("b", "2024-01-31", -1.0)], "k string, at string, s double")
-    got = windows.decayed_peak(rows, events, ["k"], "day", "at", "s", 10.0, "peak").collect()
+    got = windows.decayed_peak(rows, events, ["k"], "day", "at", "s", 10.0, "peak", own_day=True).collect()
     assert sorted((r.k, r.day or "", r.peak and round(r.peak, 9)) for r in got if r.peak) == [("a", "2024-01-01", 8.0), ("a", "2024-01-31", 1.0), ("a", "2024-01-31", 1.0)]
     assert len(got) == 5

@@ -33,7 +33,10 @@ def _mean(values: Column) -> Column:
 
 
 def _spread(values: Column, ddof: int) -> Column:
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - _mean(values)) * (v - _mean(values))) / F.nullif(F.size(values) - ddof, F.lit(0)))
+    """Deviation, the mean bound once: a lambda over an array of one value."""
+    square = lambda m: F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
+    total = F.get(F.transform(F.array(_mean(values)), square), F.lit(0))
+    return F.sqrt(total / F.nullif(F.size(values) - ddof, F.lit(0)))
 
 
 def last(values: Column) -> Column:
@@ -131,6 +134,28 @@ def share_of(values: Column, total: Column) -> Column:
     return F.try_divide(last(values), last(total))
 
 
+@named(2)
+def revision_count(values: Column, direction: str = "any") -> Column:
+    """How many times the value changed from one release to the next: up, down or any."""
+    v = _known(values)
+    moved = {"up": lambda a, b: b > a, "down": lambda a, b: b < a, "any": lambda a, b: b != a}[direction]
+    return F.get(F.transform(F.array(v), lambda w: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.coalesce(moved(F.get(w, i - 1), F.get(w, i)), F.lit(False))))), F.lit(0))
+
+
+@named(1)
+def ratio(values: Column, other: Column, scale: float = 1.0) -> Column:
+    """The last value over the last of another series; null over 0 or where the last pair is not whole."""
+    return F.try_divide(last(values) * scale, F.nullif(last(other), F.lit(0.0)))
+
+
+@named(1)
+def expiry_spread(values: Column, labels: Column, near: str, far: str) -> Column:
+    """The value at the label ``far`` less that at ``near``; null if either is absent or occurs twice."""
+    at = lambda name: F.filter(F.zip_with(values, labels, lambda v, n: F.struct(v.alias("v"), n.alias("n"))), lambda x: x["n"] == name)
+    one = lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))["v"])
+    return one(at(far)) - one(at(near))
+
+
 @named(3)
 def volatility(values: Column) -> Column:
     """Sample deviation of the changes."""

@@ -22,11 +22,24 @@ def errors(df: DataFrame, keys: list[str], actual: str, predicted: str, before:
     return df.groupBy(*keys).agg(F.count(e).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.avg(F.when(moved != 0, (moved > 0).cast("double"))).alias("direction"))
 
 
-def average_precision(df: DataFrame, keys: list[str], score: str, positive: Column, tiebreak: str) -> DataFrame:
-    """Mean over the positives, from the highest score down, of the share of positives so far; the share of positives beside it. Rows of one key share a task, so keys should be many or ``df`` small."""
-    w = W.partitionBy(*keys).orderBy(F.col(score).desc(), tiebreak)
-    ranked = df.withColumn("__y", positive.cast("double")).withColumn("__p", F.sum("__y").over(w) / F.row_number().over(w))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("__y").cast("bigint").alias("n_positive"), F.avg(F.when(F.col("__y") == 1, F.col("__p"))).alias("average_precision"), F.avg("__y").alias("base_rate"))
+def average_precision(df: DataFrame, keys: list[str], score: str, positive: Column, tiebreak: str, parts: int = 256) -> DataFrame:
+    """Mean over the positives, from the highest score down (ties by ``tiebreak``), of the share of positives so far; the share of positives beside it.
+
+    Scores are cut to ``parts`` ranges by approximate quantiles over all rows; rows are ranked within a range of a key, and counts of the ranges above are added, so that no key's rows share a task.
+    """
+    limits = df.agg(F.percentile_approx(score, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    marks = F.array(*map(F.lit, sorted(set(limits)))) if limits else F.array().cast("array<double>")
+    rows = df.withColumn("__y", positive.cast("double")).withColumn("__r", F.size(F.filter(marks, lambda m: m > F.col(score))))
+    per = rows.groupBy(*keys, "__r").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__p"))
+    above = W.partitionBy(*keys).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    base = per.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__r").alias("__of"), *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"__before{c}") for c in ("__n", "__p")))
+    on = F.col("__r") == F.col("__of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    w = W.partitionBy(*keys, "__r").orderBy(F.col(score).desc(), tiebreak)
+    ranked = rows.withColumns({"__at": F.row_number().over(w), "__hits": F.sum("__y").over(w)}).join(base, on)
+    ranked = ranked.withColumn("__share", (F.col("__before__p") + F.col("__hits")) / (F.col("__before__n") + F.col("__at")))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("__y").cast("bigint").alias("n_positive"), F.avg(F.when(F.col("__y") == 1, F.col("__share"))).alias("average_precision"), F.avg("__y").alias("base_rate"))
 
 
 def precision_at_share(df: DataFrame, keys: list[str], score: str, positive: Column, share: float) -> DataFrame:

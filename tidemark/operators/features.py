@@ -68,3 +68,15 @@ def training_windows(matrix_df: DataFrame, tiers: dict[str, list[str]], share: f
     each = F.array(*(F.struct(F.lit(t).alias("tier"), (sum((F.col(c) >= 0.5).cast("double") for c in cols) / len(cols)).alias("present")) for t, cols in tiers.items()))
     rows = present.select("period", F.inline(each))
     return rows.groupBy("tier").agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.min(F.when(F.col("present") >= share, F.col("period"))).alias("dense_from"))
+
+
+def tiers(df: DataFrame, levels: list[str], value: str) -> DataFrame:
+    """``n_rows`` and ``total`` at every tier of ``levels`` (the widest first), from the single cells up to all rows; a column that a tier sums over is null."""
+    return df.rollup(*levels).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).alias("total"))
+
+
+def tail_shares(cells: DataFrame, keys: list[str], value: str, tail: float, least: int) -> DataFrame:
+    """For each of ``keys`` with ``least`` cells: ``n_cells``, ``mean`` and the share of cells whose value is ``tail`` or more (``tail_share``). Cells without a value count in none."""
+    known = cells.where(F.col(value).isNotNull())
+    told = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"), F.avg(value).alias("mean"), F.avg((F.col(value) >= tail).cast("double")).alias("tail_share"))
+    return told.where(F.col("n_cells") >= least)

@@ -5,29 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, values: list[str], strict: bool = False, forward: bool = False, within: Column | None = None, prefix: str = "") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, values: list[str], strict: bool = False, forward: bool = False, within: Column | None = None, prefix: str = "", span_days: int | None = 90) -> DataFrame:
     """``left`` with ``values`` and ``right_at`` of the nearest row of ``right`` of the same keys that isn't later (``forward``: isn't earlier); ``strict`` refuses equal times.
 
-    Both sides are laid into one series of each key and the last right row is carried on: one shuffle, no pair of rows is ever formed. ``within`` is an interval: matches further away give nulls. Of right rows with one time the largest values win. Left rows keep their number; a null time or key matches nothing.
+    Both sides are laid into one series of each key and span of ``span_days`` days, and the last right row is carried on; what a span takes over from those before it comes from one row a key and span. So the rows of one key, however many, share no task, and no pair of rows is ever formed. Times that are neither dates nor timestamps, or a null ``span_days``, make one series a key. ``within`` is an interval: matches further away give nulls. Of right rows with one time the largest values win. Left rows keep their number; a null time or key matches nothing. Names that both sides would give need a ``prefix``: without it ValueError is raised.
     """
+    if clash := {prefix + c for c in (right_at, *values)} & set(left.columns):
+        raise ValueError(f"columns {sorted(clash)} are in both sides: give a prefix")
     found = F.struct(F.col(right_at).alias("at"), *(F.col(v) for v in values))
     probe = left.select(*keys, F.col(left_at).alias("__at"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(found.alias("f")).schema["f"].dataType).alias("__right"))
     build = right.where(F.col(right_at).isNotNull()).select(*keys, F.col(right_at).alias("__at"), F.lit(None).cast(probe.schema["__left"].dataType).alias("__left"), found.alias("__right"))
+    laid = probe.unionByName(build)
+    spans = span_days is not None and all(isinstance(side.schema["__at"].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) for side in (probe, build))
+    by = keys
+    if spans:
+        laid = laid.withColumn("__span", F.floor(F.datediff("__at", F.lit("1970-01-01").cast("date")) / span_days))
+        by = [*keys, "__span"]
     # at equal times right rows come first if they may match, else last
     side = F.when(F.col("__left").isNull(), 1 if strict else 0).otherwise(0 if strict else 1)
     time = F.col("__at").desc_nulls_first() if forward else F.col("__at").asc_nulls_first()
-    order = W.partitionBy(*keys).orderBy(time, side, F.col("__right")).rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy(*by).orderBy(time, side, F.col("__right")).rowsBetween(W.unboundedPreceding, 0)
     usable = F.col("__left.`" + left_at + "`").isNotNull()
     for k in keys:
         usable = usable & F.col(f"__left.`{k}`").isNotNull()
-    laid = probe.unionByName(build).withColumn("__hit", F.last("__right", True).over(order)).where(F.col("__left").isNotNull())
-    laid = laid.withColumn("__hit", F.when(usable, F.col("__hit")))
+    hits = laid.withColumn("__hit", F.last("__right", True).over(order)).where(F.col("__left").isNotNull())
+    if spans:
+        at = F.col("__right.at")
+        nearest = F.max_by("__right", F.when(at.isNotNull(), F.struct(-F.unix_micros(at.cast("timestamp")), "__right"))) if forward else F.max("__right")
+        ends = laid.groupBy(*by).agg(nearest.alias("__end"))
+        earlier = W.partitionBy(*keys).orderBy(F.col("__span").desc() if forward else F.col("__span").asc()).rowsBetween(W.unboundedPreceding, -1)
+        hits = hits.join(ends.select(*by, F.last("__end", True).over(earlier).alias("__carried")), by, "left").withColumn("__hit", F.coalesce("__hit", "__carried"))
+    hits = hits.withColumn("__hit", F.when(usable, F.col("__hit")))
     if within is not None:
         late = (F.col("__hit.at") > F.col("__at") + within) if forward else (F.col("__hit.at") < F.col("__at") - within)
-        laid = laid.withColumn("__hit", F.when(~late, F.col("__hit")))
-    return laid.select("__left.*", F.col("__hit.at").alias(prefix + right_at), *(F.col(f"__hit.`{v}`").alias(prefix + v) for v in values))
+        hits = hits.withColumn("__hit", F.when(~late, F.col("__hit")))
+    return hits.select("__left.*", F.col("__hit.at").alias(prefix + right_at), *(F.col(f"__hit.`{v}`").alias(prefix + v) for v in values))
 
 
 def latest_vintage(df: DataFrame, grain: list[str], known_at: str, as_of: Column | None = None, tiebreak: list[str] | None = None) -> DataFrame:

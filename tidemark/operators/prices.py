@@ -16,6 +16,26 @@ def front_contract(curve: DataFrame, metric: str, slug: str = "slug", at: str =
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def front_inputs(curve: DataFrame, metrics: dict[str, str | None], slug: str = "slug", at: str = "trade_date", month: str = "contract_month") -> DataFrame:
+    """``slug``, ``trade_date``, ``n_eligible``, ``n_missing`` and ``answers``: whether every delivery month of the date that could be the front has the metric by which the slug's front is chosen. A front picked from some of them would go to whichever happens to have a number.
+
+    ``metrics`` gives each slug's metric column (None: its front needs none). A slug that isn't there, or has a column that ``curve`` lacks, never answers; blank texts and values that aren't numbers are missing. Dates without an eligible month don't answer.
+    """
+    has = F.lit(False)
+    for name, metric in metrics.items():
+        if metric is None:
+            held = F.lit(True)
+        elif metric not in curve.columns:
+            held = F.lit(False)
+        else:
+            number = F.col(metric).try_cast("double")
+            held = number.isNotNull() & ~F.isnan(number)
+        has = F.when(F.col(slug) == name, held).otherwise(has)
+    eligible = F.coalesce(F.col(month) >= F.date_format(at, "yyyy-MM"), F.lit(False))
+    told = curve.groupBy(slug, at).agg(F.count_if(eligible).alias("n_eligible"), F.count_if(eligible & ~has).alias("n_missing"))
+    return told.withColumn("answers", (F.col("n_eligible") > 0) & (F.col("n_missing") == 0))
+
+
 def curve_as_of(curve: DataFrame, as_of, slug: str = "slug", at: str = "trade_date", month: str = "contract_month") -> DataFrame:
     """The newest session of each delivery month known at ``as_of``."""
     w = W.partitionBy(slug, month).orderBy(F.col(at).desc())

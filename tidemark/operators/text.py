@@ -22,13 +22,14 @@ def copy_key(text: Column) -> Column:
 def shingles(text: Column, k: int) -> Column:
     """Distinct hashes of ``k`` words in a row of the normalized text; a shorter text is one shingle, an empty one none."""
     words = F.filter(F.split(normalized(text), " "), lambda w: w != "")
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " ")))
-    return F.when(F.size(words) > 0, F.array_distinct(windows)).otherwise(F.array().cast("array<bigint>"))
+    # the words are bound once, as the one value of an array, not worked out anew at every place
+    hashes = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))))
+    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, hashes(w)).otherwise(F.array().cast("array<bigint>"))), F.lit(0))
 
 
 def bottom_sketch(text: Column, k: int = 8, size: int = 128) -> Column:
     """The ``size`` smallest shingle hashes, in order."""
-    return F.slice(F.array_sort(shingles(text, k)), 1, size)
+    return F.slice(F.sort_array(shingles(text, k)), 1, size)
 
 
 def sketch_jaccard(a: Column, b: Column, size: int = 128) -> Column:

@@ -110,8 +110,8 @@ def episodes(df: DataFrame, keys: list[str], at: str, gap_days: int) -> DataFram
     return rows.groupBy(*keys, "episode").agg(F.min("__d").alias("first_date"), F.max("__d").alias("last_date"), F.count(F.lit(1)).alias("n_events"))
 
 
-def independent_windows(df: DataFrame, keys: list[str], at: str, horizon_days: int, out: str) -> DataFrame:
-    """For each key, how many windows of ``horizon_days`` that do not overlap fit, taken greedily from the first date on. The dates of one key are distinct days, so their list is bounded by the calendar."""
+def independent_windows(df: DataFrame, keys: list[str], at: str, horizon_days: int | Column, out: str) -> DataFrame:
+    """For each key, how many windows of ``horizon_days`` (a number, or one of the keys) that do not overlap fit, taken greedily from the first date on. The dates of one key are distinct days, so their list is bounded by the calendar."""
     days = F.array_sort(F.collect_set(F.datediff(F.to_date(at), F.lit("1970-01-01").cast("date"))))
     start = F.struct(F.lit(-(10**8)).alias("until"), F.lit(0).alias("n"))
     fold = F.aggregate("__days", start, lambda s, d: F.when(d >= s["until"], F.struct((d + horizon_days).alias("until"), (s["n"] + 1).alias("n"))).otherwise(s), lambda s: s["n"])
@@ -126,14 +126,19 @@ def prior_seasons(df: DataFrame, keys: list[str], season: str, slot: str, value:
     return df.withColumns({"slot_change": F.when(ok, F.try_divide(F.col(value) - mean, F.abs(mean))), "slot_z": F.when(ok & (spread > 0), (F.col(value) - mean) / spread)})
 
 
-def decayed_peak(df: DataFrame, events: DataFrame, keys: list[str], at: str, event_at: str, severity: str, half_life_days: float, out: str) -> DataFrame:
-    """For each row, the largest severity of all the key's events up to its day (its own day included), halved every ``half_life_days``; null if there is none.
+def decayed_peak(df: DataFrame, events: DataFrame, keys: list[str], at: str, event_at: str, severity: str, half_life_days: float, out: str, least: float = 0.0, own_day: bool = False, short: str | None = None, look_back_days: float | None = None) -> DataFrame:
+    """For each row, the largest severity of the key's events before its day (``own_day``: up to it), halved every ``half_life_days``; null if there is none. Events of less than ``least`` take no part.
 
-    A severity halved until a day is 2 ** (log2(severity) + event's day / half-life - day / half-life), so one running maximum of the first two gives all. Repeated rows keep their number; severities that aren't positive and rows or events without a day take no part.
+    ``short`` names a flag for rows less than ``look_back_days`` (two half-lives) after the key's first event of any severity, which may lack earlier ones; it is null where the key has no earlier event.
+
+    A severity halved until a day is 2 ** (log2(severity) + event's day / half-life - day / half-life), so one running maximum of the first two gives all. Repeated rows keep their number; severities that aren't positive numbers and rows or events without a day take no part.
     """
     day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
     rows = df.select(*keys, F.struct(*df.columns).alias("__row"), day(at).alias("__d"))
-    marks = events.where(F.col(severity) > 0).select(*keys, day(event_at).alias("__d"), (F.log2(severity) + day(event_at) / half_life_days).alias("__u")).where("__d is not null")
-    highest = F.max("__u").over(W.partitionBy(*keys).orderBy("__d").rangeBetween(W.unboundedPreceding, 0))
-    peaks = rows.unionByName(marks, allowMissingColumns=True).withColumn(out, F.pow(F.lit(2.0), highest - F.col("__d") / half_life_days))
-    return peaks.where("__row is not null").select("__row.*", out)
+    counts = (F.col(severity) > 0) & (F.col(severity) >= least) & ~F.isnan(F.col(severity).cast("double"))
+    marks = events.select(*keys, day(event_at).alias("__d"), F.when(counts, F.log2(severity) + day(event_at) / half_life_days).alias("__u"), day(event_at).alias("__first")).where("__d is not null")
+    before = W.partitionBy(*keys).orderBy("__d").rangeBetween(W.unboundedPreceding, 0 if own_day else -1)
+    laid = rows.unionByName(marks, allowMissingColumns=True).withColumn(out, F.pow(F.lit(2.0), F.max("__u").over(before) - F.col("__d") / half_life_days))
+    if short:
+        laid = laid.withColumn(short, F.col("__d") - F.min("__first").over(before) < (2 * half_life_days if look_back_days is None else look_back_days))
+    return laid.where("__row is not null").select("__row.*", out, *([short] if short else []))

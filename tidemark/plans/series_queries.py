@@ -105,12 +105,12 @@ def episodes_by_gap(spark, sf_dir):
     return windows.episodes(days, ["user_id", "event_type"], "d", 2)
 
 
-@query()
+@query("WITH RECURSIVE days AS (SELECT DISTINCT user_id AS u, CAST(ts AS DATE) AS d FROM events), walk(u, d, n) AS (SELECT u, MIN(d), 1 FROM days GROUP BY 1 UNION ALL SELECT u, nx, n + 1 FROM (SELECT w.u, w.n, (SELECT MIN(x.d) FROM days x WHERE x.u = w.u AND x.d >= w.d + 7) AS nx FROM walk w) q WHERE nx IS NOT NULL) SELECT u AS user_id, CAST(MAX(n) AS INTEGER) AS n_windows FROM walk GROUP BY 1")
 def independent_windows(spark, sf_dir):
     return windows.independent_windows(table(spark, sf_dir, "events"), ["user_id"], "ts", 7, "n_windows")
 
 
-@query("SELECT a.event_id, ROUND(MAX(b.value * pow(0.5, date_diff('day', CAST(b.ts AS DATE), CAST(a.ts AS DATE)) / 3.0)), 6) AS peak FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND CAST(b.ts AS DATE) <= CAST(a.ts AS DATE) AND b.event_type = 'error' AND b.value > 0 GROUP BY 1")
+@query("SELECT a.event_id, ROUND(MAX(b.value * pow(0.5, date_diff('day', CAST(b.ts AS DATE), CAST(a.ts AS DATE)) / 3.0)), 6) AS peak FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND CAST(b.ts AS DATE) < CAST(a.ts AS DATE) AND b.event_type = 'error' AND b.value > 0 AND NOT isnan(b.value) GROUP BY 1")
 def decayed_peak(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     found = windows.decayed_peak(events.select("event_id", "user_id", "ts"), events.where("event_type = 'error'"), ["user_id"], "ts", "ts", "value", 3.0, "peak")

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import conform, features, graph, metric, pit, prices, quality
+from ..operators import budget, conform, features, graph, metric, pit, prices, quality
+from ..sources import scans
 from .base import CURVE, MONTHLY, curve, monthly, query, table
 from .series_queries import trailing_z
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-02-01' AND l_returnflag = 'R'")
 def scan_filter(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= "1996-01-01") & (F.col("l_shipdate") < "1996-02-01") & (F.col("l_returnflag") == "R"))
+    where = (F.col("l_shipdate") >= "1996-01-01") & (F.col("l_shipdate") < "1996-02-01") & (F.col("l_returnflag") == "R")
+    rows = scans.scan(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "no_such_column"], where)
     return rows.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
 
 
@@ -35,9 +37,9 @@ def missing_rates(spark, sf_dir):
     return quality.missing_rates(parts, ["g"], ["cheap", "small"]).withColumn("null_rate", F.round("null_rate", 6))
 
 
-@query("WITH d AS (SELECT event_type, CAST(date_trunc('month', ts) AS DATE) AS month, COUNT(DISTINCT CAST(ts AS DATE)) AS n_days FROM events GROUP BY 1, 2) SELECT * FROM d WHERE n_days = day(last_day(month))")
+@query("WITH d AS (SELECT l_returnflag, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, COUNT(DISTINCT CAST(l_shipdate AS DATE)) AS n_days FROM lineitem GROUP BY 1, 2) SELECT * FROM d WHERE n_days = day(last_day(month))")
 def complete_months(spark, sf_dir):
-    return quality.complete_months(table(spark, sf_dir, "events"), ["event_type"], "ts")
+    return quality.complete_months(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_shipdate")
 
 
 @query("SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
@@ -76,30 +78,32 @@ def preference_rank(spark, sf_dir):
     return conform.prefer(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority", ["1-URGENT", "2-HIGH"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderpriority")
 
 
-@query("SELECT p_brand, p_size, COUNT(*) AS n FROM part WHERE (p_brand, p_size) IN (SELECT DISTINCT p_brand, p_size FROM part WHERE p_retailprice > 1500) GROUP BY 1, 2")
+@query("SELECT p_brand, p_size, COUNT(*) AS n FROM part WHERE (p_brand, p_size) IN (SELECT DISTINCT p_brand, p_size FROM part WHERE p_retailprice > (SELECT AVG(p_retailprice) FROM part)) GROUP BY 1, 2")
 def admitted(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    registry = parts.where("p_retailprice > 1500").select("p_brand", "p_size").distinct()
+    dear = parts.agg(F.avg("p_retailprice").alias("mean"))
+    registry = parts.join(F.broadcast(dear)).where("p_retailprice > mean").select("p_brand", "p_size").distinct()
     return conform.admit(parts, registry, ["p_brand", "p_size"]).groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_retailprice > 1500 AND q.p_brand = part.p_brand AND q.p_size = part.p_size)")
+@query("SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_retailprice > (SELECT AVG(p_retailprice) FROM part) AND q.p_brand = part.p_brand AND q.p_size = part.p_size)")
 def declined(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    registry = parts.where("p_retailprice > 1500").select("p_brand", "p_size").distinct()
+    dear = parts.agg(F.avg("p_retailprice").alias("mean"))
+    registry = parts.join(F.broadcast(dear)).where("p_retailprice > mean").select("p_brand", "p_size").distinct()
     return conform.decline(parts, registry, ["p_brand", "p_size"]).select("p_partkey", "p_brand")
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 def missing_entities(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    suppliers = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
     return quality.missing(table(spark, sf_dir, "nation").select("n_nationkey"), suppliers, ["n_nationkey"])
 
 
-@query("SELECT 'full' AS side, c_custkey AS key FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'truncated', o_custkey FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
+@query("SELECT 'full' AS side, c_custkey AS key FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000) UNION ALL SELECT 'truncated', o_custkey FROM (SELECT o_custkey FROM orders WHERE o_totalprice > 300000 EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def set_parity(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
-    b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"))
+    b = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("key")).distinct()
     return pit.differences(a, b)
 
 
@@ -117,14 +121,14 @@ def reconcile_outer(spark, sf_dir):
 def tier_rollup(spark, sf_dir):
     orders, customers, nations, regions = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.rollup("r_name", "n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("value"))
+    return features.tiers(joined, ["r_name", "n_name", "c_mktsegment"], "o_totalprice").select("r_name", "n_name", "c_mktsegment", F.col("n_rows").alias("n_orders"), F.round("total", 2).alias("value"))
 
 
 @query("WITH c AS (SELECT n_regionkey AS basin, n_nationkey, AVG(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) SELECT basin, COUNT(*) AS n_cells, ROUND(AVG(v), 4) AS mean, ROUND(AVG(CASE WHEN v >= 4500 THEN 1.0 ELSE 0.0 END), 6) AS tail_share FROM c GROUP BY 1 HAVING COUNT(*) >= 2")
 def basin_tail_share(spark, sf_dir):
     customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     cells = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("basin"), "n_nationkey").agg(F.avg("c_acctbal").alias("v"))
-    return cells.groupBy("basin").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.avg((F.col("v") >= 4500).cast("double")), 6).alias("tail_share")).where("n_cells >= 2")
+    return features.tail_shares(cells, ["basin"], "v", 4500, 2).withColumns({"mean": F.round("mean", 4), "tail_share": F.round("tail_share", 6)})
 
 
 @query("WITH s AS (SELECT n_name, year(o_orderdate) - CASE WHEN month(o_orderdate) < 9 THEN 1 ELSE 0 END AS season, CAST(o_orderdate AS DATE) AS d, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), m AS (SELECT MAX(d) AS seen FROM s) SELECT n_name, CAST(s.season AS INTEGER) AS season, CASE WHEN ANY_VALUE(seen) >= make_date(s.season + 1, 2, 1) + INTERVAL 1 MONTH - INTERVAL 1 DAY THEN ROUND(AVG(v) FILTER (WHERE month(d) >= 11 OR month(d) <= 2), 4) END AS stage_mean FROM s, m GROUP BY n_name, s.season")
@@ -198,9 +202,10 @@ def year_month_guard(spark, sf_dir):
     return rows.where(pit.known_by_month("year", "m", 20, F.lit("1996-05-15").cast("date")))
 
 
-@query(f"WITH full_build AS (SELECT o_custkey AS k, SUM(1) AS n FROM orders WHERE o_orderdate < DATE '1997-01-01' GROUP BY 1) SELECT k, CAST(n AS BIGINT) AS n, 'full' AS side FROM full_build WHERE false")
-def truncated_inputs_agree(spark, sf_dir):
-    build = lambda orders: orders.where("o_orderdate < '1997-01-01'").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+@query("WITH a AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS k, COUNT(*) AS n FROM orders GROUP BY 1), b AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS k, COUNT(*) AS n FROM orders WHERE o_orderdate < DATE '1997-07-01' GROUP BY 1) SELECT k, n, 'full' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT k, n, 'truncated' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def truncated_inputs_differ(spark, sf_dir):
+    """Years that a build on truncated inputs tells otherwise: those not over by then, and none before."""
+    build = lambda orders: orders.groupBy(F.year("o_orderdate").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     orders = table(spark, sf_dir, "orders")
     return pit.differences(build(orders), build(orders.where("o_orderdate < '1997-07-01'")))
 
@@ -285,7 +290,7 @@ def _order_value(rows):
     return rows.select(F.col("nation").alias("entity"), F.col("month").alias("period"), F.lit("order_value").alias("feature"), "value")
 
 
-@FAMILIES.add("order_count")
+@FAMILIES.add("order_count", low=2.0, high=9.0)
 def _order_count(rows):
     return rows.select(F.col("nation").alias("entity"), F.col("month").alias("period"), F.lit("order_count").alias("feature"), F.col("n").cast("double").alias("value"))
 
@@ -295,7 +300,7 @@ def _summer_value(rows):
     return rows.where(F.month("month").isin(6, 7, 8)).select(F.col("nation").alias("entity"), F.col("month").alias("period"), F.lit("summer_value").alias("feature"), "value")
 
 
-_SPINE = f"{MONTHLY}, spine AS (SELECT nation AS entity, month AS period, 'order_value' AS feature, GREATEST(value, 0) AS value, false AS is_label FROM monthly WHERE value IS NOT NULL UNION ALL SELECT nation, month, 'order_count', CAST(n AS DOUBLE), false FROM monthly UNION ALL SELECT nation, month, 'summer_value', value, true FROM monthly WHERE month(month) IN (6, 7, 8))"
+_SPINE = f"{MONTHLY}, spine AS (SELECT nation AS entity, month AS period, 'order_value' AS feature, GREATEST(value, 0) AS value, false AS is_label FROM monthly WHERE value IS NOT NULL UNION ALL SELECT nation, month, 'order_count', GREATEST(LEAST(CAST(n AS DOUBLE), 9), 2), false FROM monthly UNION ALL SELECT nation, month, 'summer_value', value, true FROM monthly WHERE month(month) IN (6, 7, 8))"
 
 
 @query(f"WITH {_SPINE} SELECT * FROM spine")
@@ -344,9 +349,9 @@ def graph_ancestors(spark, sf_dir):
     return graph.reachable(edges, edges.where("kind = 'customer'").select(F.col("dst").alias("node")), 3, upstream=True)
 
 
-@query(f"WITH {_EDGES} SELECT dst AS node, kind, MIN(src) AS source, COUNT(*) AS n_edges FROM edges GROUP BY 1, 2")
+@query(f"WITH {_EDGES} SELECT COALESCE(n_name, dst) AS node, kind, MIN(src) AS source, COUNT(*) AS n_edges FROM edges LEFT JOIN nation ON dst = 'n' || n_nationkey GROUP BY 1, 2")
 def edge_inversion(spark, sf_dir):
-    alias = spark.createDataFrame([("no such node", "x")], "name string, node string")
+    alias = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("node"))
     return graph.inverted(_edges(spark, sf_dir), alias)
 
 
@@ -365,20 +370,17 @@ def calendar_functions(spark, sf_dir):
 
 @query("SELECT s_suppkey, p_partkey, p_retailprice FROM (SELECT s_suppkey, s_nationkey FROM supplier) JOIN (SELECT *, p_partkey % 25 AS k FROM part) ON k = s_nationkey QUALIFY SUM(p_size) OVER (PARTITION BY s_suppkey ORDER BY p_retailprice DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 100")
 def budget_prefix(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    parts, suppliers = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    joined = suppliers.join(parts, F.pmod("p_partkey", F.lit(25)) == F.col("s_nationkey"))
-    w = W.partitionBy("s_suppkey").orderBy(F.col("p_retailprice").desc(), "p_partkey").rowsBetween(W.unboundedPreceding, 0)
-    return joined.withColumn("spent", F.sum("p_size").over(w)).where("spent <= 100").select("s_suppkey", "p_partkey", "p_retailprice")
+    """The parts of a remainder are summed up once; suppliers of its nation share them."""
+    parts = table(spark, sf_dir, "part").withColumn("k", F.pmod("p_partkey", F.lit(25)).cast("int"))
+    chosen = budget.prefix(parts, ["k"], "p_size", 100, [F.col("p_retailprice").desc(), F.col("p_partkey")])
+    suppliers = table(spark, sf_dir, "supplier")
+    return suppliers.join(chosen, F.col("k") == F.col("s_nationkey")).select("s_suppkey", "p_partkey", "p_retailprice")
 
 
 @query("SELECT doc_id, source, k AS turn FROM (SELECT doc_id, source, ROW_NUMBER() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents) WHERE k <= 5")
 def stratified_sample(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.row_number().over(w).cast("bigint").alias("turn")).where("turn <= 5")
+    rows = budget.stratified(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id", 5, "turn")
+    return rows.withColumn("turn", F.col("turn").cast("bigint"))
 
 
 def flagship(spark, sf_dir):

@@ -80,8 +80,9 @@ def hit_at_five(spark, sf_dir):
     found = cosine_top(spark, sf_dir)
     of = lambda name: rows.select(F.col("vec_id").alias(name), F.col("label").alias(f"{name}_label"))
     true = found.join(of("query_id"), "query_id").join(of("vec_id"), "vec_id").where("query_id_label = vec_id_label").select("query_id", "vec_id")
-    hits = found.where("rank <= 5").join(true, ["query_id", "vec_id"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1))
-    return of("query_id").where("query_id % 20 = 0").join(hits, "query_id", "left").agg(F.count(F.lit(1)).alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("hit_rate"))
+    every = of("query_id").where("query_id % 20 = 0").select("query_id")
+    truth = every.join(true, "query_id", "left").withColumn("vec_id", F.coalesce("vec_id", F.lit(-1)))
+    return retrieve.hit_rate(found, truth, "query_id", "vec_id", 5)
 
 
 _LEXICAL = "w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x IN ('{0}', '{1}')) AS h FROM documents), s AS (SELECT doc_id, len(list_distinct(h)) AS t, len(h) AS n FROM w WHERE len(h) > 0)"
