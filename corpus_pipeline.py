@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import language, library_ids, packing, quality, secrets, simhash
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.scratch import new_path
+from tidemark.scratch import new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text that no language's tree codes in fewer bits a symbol is in none of them; a uniform code takes 6.
