@@ -6,7 +6,7 @@ from helpers import documents
 from pyspark.sql import functions as F
 
 from tidemark.llm import queries
-from tidemark.llm.scratch import write_table
+from tidemark.scratch import write_table
 
 
 def test_stages_are_as_agreed():

@@ -7,7 +7,7 @@ from helpers import documents, empty
 from pyspark.sql import functions as F
 
 from tidemark.llm import queries, simhash
-from tidemark.llm.components import smallest_reachable
+from tidemark.operators.components import smallest_reachable
 
 
 def plain(text, width=3):

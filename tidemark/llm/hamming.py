@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import few_at_once, quoted
-from .components import smallest_reachable
-from .scratch import drop_table, write_table
+from ..operators.components import smallest_reachable
+from ..scratch import drop_table, write_table
 
 #: The model is fitted on a sample of so many vectors, or numbers, at most.
 SAMPLE, SAMPLE_NUMBERS = 8192, 1 << 22

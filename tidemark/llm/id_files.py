@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import quoted
-from .scratch import new_path, write_table
+from ..scratch import new_path, write_table
 
 #: Ids of one block, at least, unless the part ends; a block holds whole documents.
 BLOCK_IDS = 1 << 16

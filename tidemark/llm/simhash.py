@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import few_at_once, map_texts, quoted, slices
-from .components import smallest_reachable
-from .scratch import drop_table, write_table
+from ..operators.components import smallest_reachable
+from ..scratch import drop_table, write_table
 
 BITS = 64
 #: Of near copies: the share of a set that is kept to count shingles and take prefixes from; a prefix needs a fifth of the set at 0.8, and as much again may be common.
