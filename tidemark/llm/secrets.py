@@ -10,29 +10,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import quoted
-from .scratch import write_table
+from ..scratch import write_table
 
 #: Labelled findings that the default forest is fitted on.
 TRAIN_FINDINGS = 3_000
 #: Characters kept on either side of a candidate as its neighbourhood.
 NEAR = 64
 
-# The names that secrets are assigned to, and patterns of secrets in Java's syntax. No length is cut; possessive loops need no stack.
+# The names that secrets are assigned to, what tokens of services begin with, and patterns of secrets in Java's syntax. No length is cut; possessive loops need no stack.
 _NAMES = "secret|token|password|passwd|passphrase|pwd|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
-_ASSIGNED = rf"(?i:(?:{_NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|[:=])[ \t]{{0,4}}[\"'`]?)"
+_SETS = r"[\"']?[ \t]{0,4}(?::=|=>|[:=])[ \t]{0,4}[\"'`]?"
+_ASSIGNED = rf"(?i:(?:{_NAMES})[\w-]{{0,40}}+{_SETS})"
+_ADDRESSED = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s:/@\"'<>]{0,128}+:"
+_BEARER = r"(?i:\b(?:bearer|basic)[ \t]{1,4})"
+_LEAD = f"(?:{_ADDRESSED}|{_ASSIGNED}(?:{_BEARER})?|{_BEARER})"
+_VENDOR = r"(?:AKIA|ASIA|AIza|ya29\.|SG\.|eyJ|gh[opsur]_|github_pat_|glpat-|xox[abeoprs]-|[rs]k_live_|whsec_|npm_|pypi-|hf_|sk-|dop_v1_|shp(?:at|ss|ca)_|dckr_pat_)"
 _VALUE = r"[^\s\"'`,;<>]{6,}+"
-_LONG = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+_LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+_MARKED = rf"(?<![A-Za-z0-9+/_-]){_VENDOR}[A-Za-z0-9+/_.-]{{12,}}+={{0,2}}"
 _PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]++|-(?!----))++-----END [A-Z ]{0,40}PRIVATE KEY-----"
-PATTERN = f"{_PEM}|{_ASSIGNED}(?:{_PEM}|{_VALUE})|{_LONG}"
+PATTERN = rf"{_PEM}|{_ADDRESSED}[^\s/@\"'<>]{{3,}}+(?=@)|{_ASSIGNED}(?:{_PEM}|(?:{_BEARER})?{_VALUE})|{_BEARER}[A-Za-z0-9+/_.=~-]{{16,}}+|{_MARKED}|{_LONG}"
 # Words that speak for prose, for a stand-in, for a digest and for a place of tests or of settings.
 DICTIONARY = "about access account address after agent auth base before build cache case check class client code common config connection content count create current data database date default delete description device document domain email empty encode engine entry environment error event example export field file filter folder format from function group handler header home host html http image import index info input instance item json key language large last lib library line link list load local location login main manager message method model module name network node number object open option order output package page param parent parse part password path port process product project property public python query random read record reference remote request response result root route script search secret section select server service session setting shared size source start state status store string style system table target task template test text thread time title token type update upload user usr value version view width window with word world write".split()
 STAND_INS = "changeme example placeholder dummy sample test your xxxx todo none null redacted insert secret_here foobar 12345 abcdef".split()
-DIGEST_WORDS = "commit sha sha1 sha256 md5 checksum digest hash uuid guid revision etag integrity fingerprint blob tree".split()
+DIGEST_WORDS = "commit sha sha1 sha256 sha512 md5 md5sum sha1sum sha256sum checksum digest hash uuid guid revision etag integrity fingerprint blob tree".split()
 TEST_PLACES, SETTING_PLACES = "test example sample mock fixture doc readme demo", "env config secret credential prod deploy setting"
 
 FEATURES = (
     "length", "entropy", "distinct_share", "digit_share", "upper_share", "symbol_share", "kind_changes", "case_changes", "letter_pairs", "doubled",
-    "dictionary", "stand_in", "calls", "assigned", "quoted", "digest_near", "secret_near", "test_place", "setting_place", "uuid",
+    "dictionary", "stand_in", "calls", "assigned", "quoted", "digest_near", "secret_near", "test_place", "setting_place", "uuid", "vendor", "in_address", "bearer", "set_before", "mixed",
 )
 
 
@@ -51,7 +57,7 @@ def _any(words: str | list[str]) -> str:
 
 def features(found: Column, before: Column, after: Column, path: Column) -> Column:
     """A struct of FEATURES and the value of a match, whose assigned name is not part of it."""
-    value = F.regexp_replace(found, f"^{_ASSIGNED}", "")
+    value = F.regexp_replace(found, f"^{_LEAD}", "")
     lead = F.substring(found, F.lit(1), F.length(found) - F.length(value))
     chars = F.split(value, "")
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
@@ -69,6 +75,7 @@ def features(found: Column, before: Column, after: Column, path: Column) -> Colu
         "calls": flag(value.rlike(r"[(\[{$.]")), "assigned": flag(F.length(lead) > 0), "quoted": flag(lead.rlike("[\"'`]$")),
         "digest_near": flag(near.rlike(rf"\b(?:{_any(DIGEST_WORDS)})\b")), "secret_near": flag(near.rlike(_NAMES)), "test_place": flag(place.rlike(_any(TEST_PLACES))), "setting_place": flag(place.rlike(_any(SETTING_PLACES))),
         "uuid": flag(value.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
+        "vendor": flag(value.rlike(f"^{_VENDOR}")), "in_address": flag(lead.contains("://")), "bearer": flag(lead.rlike(_BEARER + "$")), "set_before": flag(before.rlike(rf"[\w\]\)][\"']?[ \t]{{0,4}}(?::=|=>|=|: )[ \t]{{0,4}}[\"'`]?$")), "mixed": flag(value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")),
     }
     return F.struct(value.alias("value"), *(F.coalesce(made[c].cast("double"), F.lit(0.0)).alias(c) for c in FEATURES))
 
@@ -81,6 +88,8 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFrame
     word = lambda salt: pick(salt, *DICTIONARY)
     name = pick("n", "token", "secret", "api_key", "password", "access_key", "auth_key", "passwd", "API_KEY", "Token", "client_secret")
     gets = F.concat(name, pick("g", " = \"", ": \"", "=", ": ", " = '", " := \""))
+    sets = F.concat(pick("e", "STRIPE", "aws", "MY", "service", "DB", "app", "X", "sendgrid", "slack"), pick("f", "_KEY", "_id", "_SIGNING", "_value", "Key", "_PASS", "_hook"), pick("g", "=", " = \"", ": \"", "=", ": "))
+    plain = F.concat(pick("e", "video", "page", "build", "doc", "node", "user", "request", "cache", "font", "image"), pick("f", "_id", "", "_ref", "Url", "_path", "_name", "_hash", "_sha"), pick("g", "=", " = \"", ": \"", "=", ": "))
     prose = F.concat_ws(" ", *(word(f"w{k}") for k in range(4)))
     wrap = lambda c: F.concat(prose, F.lit(" "), c, pick("q", "\" ", "' ", " ", "\n"), word("z"))
     upper = F.substring(F.regexp_replace(F.upper(b64("u")), "[^A-Z0-9]", ""), 1, 16)
@@ -88,6 +97,10 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFrame
         F.concat(gets, F.substring(draw("h"), 1, 40)), F.concat(gets, F.substring(draw("h"), 1, 32)), F.concat(gets, F.substring(b64("b"), 1, 40)), F.concat(gets, F.substring(b64("b"), 1, 24)),
         F.concat(gets, F.substring(b64("p"), 1, 8), pick("s", "!", "#", "@", "%", "$"), F.substring(b64("r"), 1, 6)), F.concat(F.lit("AKIA"), upper), F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64("g"), "[+/]", "x"), 1, 36)),
         F.concat(gets, draw("l")), F.concat(F.lit("eyJ"), b64("j"), F.lit("_"), b64("k")), F.concat(F.lit("sk_live_"), F.substring(F.regexp_replace(b64("y"), "[+/]", "q"), 1, 28)),
+        F.concat(sets, F.substring(draw("h"), 1, 32)), F.concat(sets, F.substring(draw("h"), 1, 40)), F.concat(sets, draw("h")), F.concat(sets, F.substring(b64("b"), 1, 40)), F.concat(sets, F.lit("AKIA"), upper), F.concat(sets, F.substring(b64("m"), 1, 24)), F.concat(sets, F.lit("ghp_"), F.substring(F.regexp_replace(b64("g"), "[+/]", "x"), 1, 36)),
+        F.concat(pick("v", "xoxb-", "xoxp-"), F.translate(F.substring(draw("d"), 1, 11), "abcdef", "012345"), F.lit("-"), F.substring(F.regexp_replace(b64("x"), "[+/]", "k"), 1, 20)), F.concat(pick("v", "xoxb-", "xoxa-"), F.translate(F.substring(draw("d"), 1, 10), "abcdef", "012345"), F.lit("-"), F.substring(F.translate(draw("x"), "0123456789", "ghijklmnop"), 1, 18)), F.concat(F.lit("glpat-"), F.substring(F.regexp_replace(b64("o"), "[+/]", "_"), 1, 20)),
+        F.concat(pick("s", "postgres://", "mysql://", "amqp://", "https://", "mongodb+srv://"), word("a"), F.lit(":"), F.substring(F.regexp_replace(b64("c"), "[+/]", "z"), 1, 12), F.lit("@"), word("b"), F.lit("/"), word("d")), F.concat(pick("s", "postgres://", "redis://", "ftp://"), word("a"), F.lit(":"), word("e"), F.substring(draw("f"), 1, 1), word("g"), F.substring(F.translate(draw("f"), "abcdef", "012345"), 1, 2), F.lit("@"), word("b")),
+        F.concat(pick("s", "Authorization: Bearer ", "bearer ", "Authorization: Basic "), F.substring(F.regexp_replace(b64("t"), "[+/]", "w"), 1, 36)),
     ]
     other = [
         F.concat(gets, pick("c", "changeme", "your_token_here", "xxxxxxxxxxxx", "example-password", "<api-key>", "${API_KEY}", "placeholder", "insert_secret_here", "dummy_token_123", "abcdef123456", "12345678")),
@@ -95,6 +108,9 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFrame
         F.concat(pick("c", "commit ", "sha1: ", "revision ", "tree "), F.substring(draw("h"), 1, 40)), F.concat(pick("c", "sha256: ", "checksum ", "digest "), draw("h")), F.concat(pick("c", "md5 ", "etag: ", "hash "), F.substring(draw("h"), 1, 32)),
         F.concat_ws("-", F.substring(draw("h"), 1, 8), F.substring(draw("h"), 9, 4), F.substring(draw("h"), 13, 4), F.substring(draw("h"), 17, 4), F.substring(draw("h"), 21, 12)), F.translate(F.substring(draw("h"), 1, 24), "abcdef", "012345"),
         F.concat(F.lit("/"), word("a"), F.lit("/"), word("b"), F.lit("3/"), word("d"), F.lit("-"), word("e"), F.lit("/"), word("f")), F.concat(word("a"), F.lit("_"), word("b"), F.lit("2_"), word("d"), F.lit("_"), word("e")), F.concat(gets, word("a"), word("b")),
+        F.concat(plain, F.concat_ws("-", F.substring(draw("h"), 1, 8), F.substring(draw("h"), 9, 4), F.substring(draw("h"), 13, 4), F.substring(draw("h"), 17, 4), F.substring(draw("h"), 21, 12))), F.concat(pick("c", "commit=", "sha1=", "revision: ", "git_sha = \"", "tree: "), F.substring(draw("h"), 1, 40)), F.concat(pick("c", "sha256=", "integrity=\"sha256-", "digest: ", "etag=\""), draw("h")), F.concat(pick("c", "md5=", "checksum: ", "file_hash=", "fingerprint = "), F.substring(draw("h"), 1, 32)),
+        F.concat(plain, word("a"), F.lit("-"), word("b"), F.lit("-"), word("d"), F.lit("-"), word("e"), F.lit("2")), F.concat(plain, F.lit("/"), word("a"), F.lit("/"), word("b"), F.lit("/"), word("d"), F.lit("-"), word("e"), F.lit("9")), F.concat(plain, word("a"), F.lit("_"), word("b"), F.lit("_"), word("d"), F.lit("_1"), word("e")), F.concat(plain, F.translate(F.substring(draw("h"), 1, 22), "abcdef", "012345")),
+        F.concat(name, pick("f", "_count", "_type", "_limit", "_policy", "_file", "s_path"), pick("g", "=", ": ", " = "), pick("c", "1000000", "bearer", "default", "16384000", "enabled", "/etc/app/conf")), F.concat(pick("s", "postgres://", "https://", "redis://"), word("a"), F.lit(":"), pick("c", "password", "changeme", "${PASS}", "<password>", "your_password", "xxxx"), F.lit("@"), word("b")), F.concat(F.lit("the bearer of "), word("a"), F.lit(" "), word("b")), F.concat(pick("s", "Authorization: Bearer ", "bearer "), pick("c", "<your-access-token>", "your_token_goes_here", "xxxxxxxxxxxxxxxxxxxxxxxx", "example-token-placeholder")),
     ]
     half = F.floor(F.col("id") / 2)
     choose = lambda kinds: F.element_at(F.array(*kinds), (F.pmod(half, F.lit(len(kinds))) + 1).cast("int"))
