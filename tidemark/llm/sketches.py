@@ -10,8 +10,8 @@ from .batches import quoted
 
 #: Longest paragraph cell in characters; longer lines are wrapped at white space.
 WIDTH = 160
-#: Cells of each of the three tables of a sketch, as first tried and in the retries.
-TABLE, RETRIES = 8, (8, 32, 128)
+#: Cells of each of the three tables of a sketch, as first tried and in the retries, each four times as large.
+TABLE, RETRIES = 8, (8, 32, 128, 512, 2048)
 #: Digests of both versions that share a bucket in a retry, about.
 BUCKET = 8
 #: Rounds of peeling; each takes all cells that hold one digest.
@@ -90,7 +90,7 @@ def _in_buckets(a: Column, b: Column, root: Column) -> Column:
 def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column, root: Column) -> Column:
     """How many of the placed digests are in one of two versions only.
 
-    The two fingerprints are subtracted and peeled first. If that fails, digests are dealt to ``root`` squared buckets and each bucket's sketches subtracted and peeled, in ever larger tables until they yield. A bucket that defies the largest is counted by comparing its digests.
+    The two fingerprints are subtracted and peeled first. If that fails, a larger sketch of both takes its place: ``root`` squared parts, each a sketch of the digests that a hash deals to it, subtracted and peeled by itself. A part that does not peel is made anew in ever larger tables, other hashes each time, until it does; one that defies the largest (about 16 digests in 6,144 cells) would fail the task.
     """
     only = lambda keys: F.transform(keys, lambda p: p["k"])
 
@@ -100,11 +100,10 @@ def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column, root: C
         return _bound(placed(only(p["a"]), table), lambda x: _bound(placed(only(p["b"]), table), lambda y: F.array_size(peel(subtract(sketch(x, table), sketch(y, table)), table))))
 
     def bucket(p: Column) -> Column:
-        x, y = only(p["a"]), only(p["b"])
-        return F.coalesce(*(attempt(p, t) for t in RETRIES), F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
+        return F.coalesce(*(attempt(p, t) for t in RETRIES), F.raise_error(F.lit("a part of a sketch does not peel")).cast("int"))
 
     first = F.array_size(peel(subtract(sketch_a, sketch_b)))
-    again = F.aggregate(_in_buckets(a, b, root), F.lit(0), lambda n, p: n + F.when((F.size(p["a"]) == 0) | (F.size(p["b"]) == 0), F.size(p["a"]) + F.size(p["b"])).otherwise(bucket(p)))
+    again = F.aggregate(_in_buckets(a, b, root), F.lit(0), lambda n, p: n + F.when(F.size(p["a"]) + F.size(p["b"]) == 0, 0).otherwise(bucket(p)))
     return F.coalesce(first, again)
 
 
