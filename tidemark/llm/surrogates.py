@@ -20,8 +20,9 @@ CARD = r"(?<![\d+.-])\d(?:[ -]?\d){12,18}(?![\d-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}([-.])\d{3}\1\d{4}(?![\w-]|\.\d)"
 _MALE, _FEMALE, _EITHER = "Mr|Herr|Monsieur|Señor|господин|г-н|κύριος|κος", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|госпожа|г-жа|κυρία|κα", "Dr|Prof"
-#: One word of a name: a capital, then letters, marks, and parts after a hyphen or an apostrophe.
-_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+"
+#: One word of a name: a capital, then letters, marks, and parts after a hyphen or an apostrophe, but for a possessive.
+_JOINT = r"['’-](?!s(?!\p{L}))\p{L}"
+_WORD = rf"\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:{_JOINT}[\p{{L}}\p{{M}}]*+)*+"
 _NAME = rf"{_WORD}(?: (?:(?:von|van|de|der|den|del|da|di|du|la|le|al|bin|ben)(?: (?:der|den|la|las|los))? )?{_WORD}){{0,2}}"
 NAME = rf"(?<![\p{{L}}])(?:{_MALE}|{_FEMALE}|{_EITHER})\.? {_NAME}"
 _TITLED = rf"^(?:{_MALE}|{_FEMALE}|{_EITHER})\.? "
@@ -154,7 +155,7 @@ def _mentions(text: Column) -> Column:
     names = F.array_distinct(F.concat(whole, F.transform(whole, lambda n: F.substring_index(n, " ", -1)), F.filter(titled, lambda n: F.length(n) > 3)))
     names = F.array_distinct(F.concat(names, F.transform(names, lambda n: F.upper(n))))
     ordered = F.transform(F.sort_array(F.transform(names, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n")))), lambda x: x["n"])
-    more = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}'’-])(?:"), _quoted_words(ordered), F.lit(r")(?![\p{L}\p{M}\p{N}]|['’-]\p{L})"))
+    more = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}'’-])(?:"), _quoted_words(ordered), F.lit(rf")(?![\p{{L}}\p{{M}}\p{{N}}]|{_JOINT})"))
     return F.when(F.size(names) > 0, more).otherwise(F.lit(PATTERN))
 
 
