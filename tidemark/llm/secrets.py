@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,10 +83,14 @@ def features(found: Column, before: Column, after: Column, path: Column) -> Colu
 
 def labelled_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFrame:
     """Findings made by rule, for fitting where no own labelled findings are at hand: ``text``, ``path`` and ``label`` (1: a secret). Each text holds one candidate."""
-    draw = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     pick = lambda salt, *of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(of))) + 1).cast("int"))
-    b64 = lambda salt: F.regexp_replace(F.base64(F.unhex(draw(salt))), "[\r\n=]", "")
-    word = lambda salt: pick(salt, *DICTIONARY)
+    # draws are written first, so that the plan of the findings stays small
+    sha = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
+    digests = [sha(k).alias(f"draw_{k}") for k in "hldxf"]
+    letters = [F.regexp_replace(F.base64(F.unhex(sha(k))), "[\r\n=]", "").alias(f"b64_{k}") for k in "bprmgyoctjkux"]
+    words = [pick(k, *DICTIONARY).alias(f"word_{k}") for k in ("w0", "w1", "w2", "w3", *"zabdefg")]
+    draws = write_table(spark.range(0, n, 1, 8).select("id", *digests, *letters, *words), "draws")
+    draw, b64, word = (lambda salt, kind=kind: F.col(f"{kind}_{salt}") for kind in ("draw", "b64", "word"))
     name = pick("n", "token", "secret", "api_key", "password", "access_key", "auth_key", "passwd", "API_KEY", "Token", "client_secret")
     gets = F.concat(name, pick("g", " = \"", ": \"", "=", ": ", " = '", " := \""))
     sets = F.concat(pick("e", "STRIPE", "aws", "MY", "service", "DB", "app", "X", "sendgrid", "slack"), pick("f", "_KEY", "_id", "_SIGNING", "_value", "Key", "_PASS", "_hook"), pick("g", "=", " = \"", ": \"", "=", ": "))
@@ -116,7 +121,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFrame
     choose = lambda kinds: F.element_at(F.array(*kinds), (F.pmod(half, F.lit(len(kinds))) + 1).cast("int"))
     is_secret = F.pmod("id", F.lit(2)) == 0
     path = pick("t", "src/app.py", "config/prod.env", "tests/test_app.py", "docs/readme.md", "deploy/settings.yaml", "", "crawl", "src3")
-    return spark.range(0, n, 1, 8).select(wrap(F.when(is_secret, choose(secret)).otherwise(choose(other))).alias("text"), path.alias("path"), is_secret.cast("double").alias("label"))
+    return draws.select(wrap(F.when(is_secret, choose(secret)).otherwise(choose(other))).alias("text"), path.alias("path"), is_secret.cast("double").alias("label"))
 
 
 def _matches(text: Column) -> Column:
@@ -135,43 +140,41 @@ def fit_forest(labelled: DataFrame, trees: int = 20, depth: int = 6, seed: int =
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
 
 
-def _score(model: RandomForestClassificationModel, x: str) -> str:
-    """The forest as SQL over the struct ``x`` of FEATURES: the share of its trees that vote for a secret."""
-    trees: list[list[str]] = []
-    for line in model.toDebugString.splitlines():
-        line = line.strip()
-        if line.startswith("Tree "):
-            trees.append([])
-        elif test := re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line):
-            trees[-1].append(f"CASE WHEN {x}.{FEATURES[int(test[1])]} <= {float(test[2])!r}D THEN")
-        elif line.startswith("Else"):
-            trees[-1].append("ELSE")
-        elif line.startswith("Predict:"):
-            trees[-1].append(line.removeprefix("Predict:").strip() + "D")
-            # a second branch that ends closes all the choices that it ends
-            while _open(trees[-1]):
-                trees[-1].append("END")
-    return "(" + " + ".join(" ".join(t) for t in trees) + f") / {float(len(trees))}D"
-
-
-def _open(tree: list[str]) -> bool:
-    """Whether the choice begun last has both its branches."""
-    stack: list[int] = []
-    for part in tree:
-        if part.startswith("CASE"):
-            stack.append(1)
-        elif part == "ELSE":
-            stack[-1] = 2
-        elif part == "END":
-            stack.pop()
-    return bool(stack) and stack[-1] == 2
+def _score(model: RandomForestClassificationModel, x: Column) -> Column:
+    """The forest over an array ``x`` of FEATURES: the share of its trees that vote for a secret. All trees lie in flat arrays of literals (feature, threshold, next place if at most it, next if over it, vote), so that the plan stays small; a walk goes down as many steps as the deepest tree has, a leaf leading to itself."""
+    flat: list[list[float]] = []
+    roots, deepest = [], 1
+    for tree in re.split(r"(?m)^\s*Tree \d+.*$", model.toDebugString)[1:]:
+        lines = iter([line.strip() for line in tree.splitlines() if line.strip()])
+
+        def node(depth: int) -> int:
+            nonlocal deepest
+            line, at = next(lines), len(flat)  # noqa: B023  used within the loop's turn
+            deepest = max(deepest, depth)
+            if line.startswith("Predict:"):
+                flat.append([0, 0.0, at, at, float(line.removeprefix("Predict:"))])
+                return at
+            test = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line)
+            flat.append([int(test[1]), float(test[2]), 0, 0, 0.0])
+            flat[at][2] = node(depth + 1)
+            next(lines)  # noqa: B023  Else
+            flat[at][3] = node(depth + 1)
+            return at
+
+        roots.append(node(0))
+    feature, low, high = (F.lit(np.array([row[k] for row in flat], dtype=np.int32)) for k in (0, 2, 3))
+    limit, vote = (F.lit(np.array([row[k] for row in flat], dtype=np.float64)) for k in (1, 4))
+    walk = lambda v, root: F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), root, lambda at, _: F.when(F.get(v, F.get(feature, at)) <= F.get(limit, at), F.get(low, at)).otherwise(F.get(high, at)), lambda at: F.get(vote, at))
+    votes = lambda v: F.aggregate(F.lit(np.array(roots, dtype=np.int32)), F.lit(0.0), lambda total, root: total + walk(v, root)) / float(len(roots))
+    return F.get(F.transform(F.array(x), votes), F.lit(0))  # the features are put together once
 
 
 def _scored(df: DataFrame, text: Column, path: Column, model: RandomForestClassificationModel) -> DataFrame:
     """``df`` with ``__found``: the candidates of a text with ``value``, ``start``, ``end`` and ``score``."""
     measured = F.transform(_matches(text), lambda m: F.struct(m["found"].alias("found"), m["start"].alias("start"), features(m["found"], m["before"], m["after"], path).alias("x")))
-    named = f"named_struct('value', m.x.value, 'start', m.start + length(m.found) - length(m.x.value), 'end', m.start + length(m.found), 'score', {_score(model, 'm.x')})"
-    return df.withColumn("__measured", measured).withColumn("__found", F.expr(f"transform(__measured, m -> {named})")).drop("__measured")
+    size = lambda m: F.length(m["found"])
+    named = lambda m: F.struct(m["x"]["value"].alias("value"), (m["start"] + size(m) - F.length(m["x"]["value"])).alias("start"), (m["start"] + size(m)).alias("end"), _score(model, F.array(*(m["x"][c] for c in FEATURES))).alias("score"))
+    return df.withColumn("__measured", measured).withColumn("__found", F.transform("__measured", named)).drop("__measured")
 
 
 def scan(df: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", at_least: float = 0.0) -> DataFrame:
