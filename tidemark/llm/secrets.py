@@ -17,6 +17,8 @@ from ..scratch import write_table
 TRAIN_FINDINGS = 3_000
 #: Characters kept on either side of a candidate as its neighbourhood.
 NEAR = 64
+#: Setting by which stages are compiled as a whole.
+WHOLE_STAGE = "spark.sql.codegen.wholeStage"
 
 # The names that secrets are assigned to, what tokens of services begin with, and patterns of secrets in Java's syntax. No length is cut; possessive loops need no stack.
 _NAMES = "secret|token|password|passwd|passphrase|pwd|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
@@ -121,7 +123,14 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_FINDINGS) -> DataFrame
     choose = lambda kinds: F.element_at(F.array(*kinds), (F.pmod(half, F.lit(len(kinds))) + 1).cast("int"))
     is_secret = F.pmod("id", F.lit(2)) == 0
     path = pick("t", "src/app.py", "config/prod.env", "tests/test_app.py", "docs/readme.md", "deploy/settings.yaml", "", "crawl", "src3")
-    return draws.select(wrap(F.when(is_secret, choose(secret)).otherwise(choose(other))).alias("text"), path.alias("path"), is_secret.cast("double").alias("label"))
+    made = draws.select(wrap(F.when(is_secret, choose(secret)).otherwise(choose(other))).alias("text"), path.alias("path"), is_secret.cast("double").alias("label"))
+    # written here: a filter above would repeat the choice, which is too long for one compiled stage and is not worth the driver's trying
+    before = spark.conf.get(WHOLE_STAGE)
+    spark.conf.set(WHOLE_STAGE, "false")
+    try:
+        return write_table(made, "labelled")
+    finally:
+        spark.conf.set(WHOLE_STAGE, before)
 
 
 def _matches(text: Column) -> Column:
