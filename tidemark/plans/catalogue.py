@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history_queries, series_queries, table_queries, text_queries  # noqa: F401  they register themselves
+from . import audit_queries, history_queries, series_queries, table_queries, text_queries  # noqa: F401  they register themselves
 from .base import ORACLE_SQL, QUERIES
 from .table_queries import flagship
 
