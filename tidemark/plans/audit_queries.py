@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audits, census
+from ..operators import audits, census, places
 from .base import query, table
 
 COUNTED = ["l_quantity", "early", "marked", "nothing", "shaky", "l_returnflag", "told"]
@@ -116,3 +116,18 @@ def leak_audit(spark, sf_dir):
     rules = audits.Names(target="^(target_|label_)", same_period="^crop_", lagged="_(lag|prior)[0-9]*$")
     blocked = spark.createDataFrame([("l_tax",), ("crop_area",), ("crop_area",), ("unused",)], "feature string")
     return audits.leaks(joined, ["l_quantity", "l_tax", "target_price", "crop_area", "crop_area_lag1"], rules, "l_shipdate", "as_of", blocked)
+
+
+_LEAVES = "leaves AS (SELECT source, doc_id AS leaf, CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE '' END || COALESCE(text, '') AS t, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), whole AS (SELECT source, string_agg(t, chr(10) || chr(10) ORDER BY leaf) AS w FROM leaves GROUP BY 1), ends AS (SELECT source, leaf, SUM(length(t) + 2) OVER (PARTITION BY source ORDER BY leaf) AS hi, length(t) + 2 AS n FROM leaves)"
+
+
+@query(
+    f"WITH {_LEAVES}, lead AS (SELECT source, length(w) - length(regexp_replace(w, '^\\s+', '')) AS lead, length(w) AS total FROM whole), asked AS (SELECT doc_id, source, doc_id * 997 AS seen_at FROM documents) SELECT doc_id, asked.source, seen_at, leaf FROM asked LEFT JOIN lead ON asked.source = lead.source LEFT JOIN ends ON ends.source = asked.source AND seen_at + lead >= hi - n AND seen_at + lead < LEAST(hi, total)"
+)
+def page_of_offset(spark, sf_dir):
+    """Sources as documents whose pages are the table's texts; one offset asked for each row."""
+    docs = table(spark, sf_dir, "documents")
+    blank = F.when(F.col("doc_id") % 5 == 0, F.lit("  ")).otherwise("")
+    leaves = docs.select("source", F.col("doc_id").alias("leaf"), F.concat(blank, F.coalesce("text", F.lit(""))).alias("text"))
+    asked = docs.select("doc_id", "source", (F.col("doc_id") * 997).alias("seen_at"))
+    return places.page_at(asked, places.page_spans(leaves, "source", "leaf", "text"), "source", "seen_at", "leaf")
