@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import few_at_once, map_texts, quoted, slices
-from ..operators.components import smallest_reachable
+from ..operators.components import dealt, smallest_reachable
 from ..scratch import drop_table, write_table
 
 BITS = 64
@@ -97,21 +97,21 @@ def _ball(value: Column) -> Column:
 
 
 def links(values: DataFrame, bucket: int = 8) -> DataFrame:
-    """Links (a, b) between representatives, so that their transitive closure joins all values that differ in at most 2 bits.
+    """Links (a, b) between representatives, so that their transitive closure joins all values that differ in at most 2 bits; a link may come more than once.
 
     ``values`` has distinct ``simhash`` with ``rep``. Two values at 2 bits or fewer have, of 2 segments, one that differs in at most 1 bit, hence a common one-wildcard variant of it. Variants with at most ``bucket`` values are joined on equality and verified. Values in fuller variants need another way that makes no pairs: two values differ in at most 2 bits exactly if some value is at most 1 bit from both, so each is linked to the smallest representative around every such point. Both ways are exact.
     """
     index = values.select("rep", "simhash", F.explode(_variants(F.col("simhash"), 2)).alias("variant"))
     sizes = index.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = write_table(index.join(sizes, "variant"), "variants")
+    members = write_table(index.join(dealt(sizes), "variant"), "variants")
     few = members.where(F.col("n") <= bucket).select("variant", "rep", "simhash")
     other = few.select("variant", F.col("rep").alias("b"), F.col("simhash").alias("other"))
-    near = few.withColumnRenamed("rep", "a").join(other, "variant").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("other"))) <= 2)).select("a", "b")
+    near = few.withColumnRenamed("rep", "a").join(dealt(other), "variant").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("other"))) <= 2)).select("a", "b")
     crowded = members.where(F.col("n") > bucket).select("rep", "simhash").distinct()
     points = crowded.select("rep", F.explode(_ball(F.col("simhash"))).alias("point"))
     centres = points.groupBy("point").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "a")
-    around = points.join(centres, "point").where("a < rep").select("a", F.col("rep").alias("b"))
-    return near.unionByName(around).distinct()
+    around = points.join(dealt(centres), "point").where("a < rep").select("a", F.col("rep").alias("b"))
+    return near.unionByName(around)
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
@@ -122,9 +122,9 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = write_table(fingerprints(df, id_col, text_col, width, seed).withColumnRenamed(id_col, "__id"), "simhash")
     values = write_table(marks.groupBy("simhash").agg(F.min("__id").alias("least")), "values")
     roots = smallest_reachable(links(values.select(F.col("simhash").alias("rep"), "simhash")))
-    rooted = values.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("simhash", "component_id")
-    return marks.join(classes, "simhash").select(F.col("__id").alias(id_col), "simhash", "component_id")
+    rooted = values.join(dealt(roots.withColumnRenamed("node", "simhash")), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
+    classes = rooted.join(dealt(rooted.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("simhash", "component_id")
+    return marks.join(dealt(classes), "simhash").select(F.col("__id").alias(id_col), "simhash", "component_id")
 
 
 def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:

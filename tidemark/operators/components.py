@@ -11,6 +11,11 @@ from ..scratch import drop_table, write_table
 MOST_ROUNDS = 60
 
 
+def dealt(side: DataFrame) -> DataFrame:
+    """``side`` of a join that is dealt by its keys, never sent to every executor by way of the driver. Spark tells a table's size by its files, before it explodes or gathers rows: it would broadcast sides of millions of rows."""
+    return side.hint("merge")
+
+
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     """One star step. Edges (node, to) have to < node.
 
@@ -20,24 +25,25 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
         sides = edges.unionByName(edges.select(F.col("to").alias("node"), F.col("node").alias("to")))
         least = sides.groupBy("node").agg(F.min("to").alias("least")).select("node", F.least("node", "least").alias("least"))
         up = edges.select(F.col("to").alias("node"), F.col("node").alias("other"))
-        return up.join(least, "node").select(F.col("other").alias("node"), F.col("least").alias("to")).where("to < node").distinct()
+        return up.join(dealt(least), "node").select(F.col("other").alias("node"), F.col("least").alias("to")).where("to < node").distinct()
     least = edges.groupBy("node").agg(F.min("to").alias("least"))
-    moved = edges.join(least, "node").where("to > least").select(F.col("to").alias("node"), F.col("least").alias("to"))
+    moved = edges.join(dealt(least), "node").where("to > least").select(F.col("to").alias("node"), F.col("least").alias("to"))
     return moved.unionByName(least.select("node", F.col("least").alias("to"))).distinct()
 
 
 def smallest_reachable(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` for every node of ``links`` (a, b) that isn't the smallest of its component; root is the smallest.
 
-    Self links and repeated links do no harm. Each round is written to the shared folder, so that lineage stays short and a lost executor costs one round.
+    Self links and repeated links do no harm. Each round is written to the shared folder, so that lineage stays short and a lost executor costs one round. The rounds end when every node has one link, to a node that has none.
     """
     start = links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).distinct()
-    edges, last = write_table(start, "edges"), None
+    edges = write_table(start, "edges")
     for _ in range(MOST_ROUNDS):
-        mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "to")), F.sum(F.xxhash64("to", "node") % 1_000_003)).first()
-        if mark == last or not mark[0]:
+        ends = edges.select(F.inline(F.array(F.struct(F.col("node").alias("end"), F.lit(1).alias("up")), F.struct(F.col("to").alias("end"), F.lit(0).alias("up")))))
+        open_ends = ends.groupBy("end").agg(F.sum("up").alias("links"), F.min("up").alias("own")).where("links > 1 or links = 1 and own = 0")
+        if not open_ends.agg(F.count(F.lit(1))).first()[0]:
             return edges.select("node", F.col("to").alias("root"))
         after = write_table(_star(_star(edges, True), False), "edges")
         drop_table(edges)
-        edges, last = after, mark
+        edges = after
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
