@@ -1,5 +1,6 @@
 """Near-dedup sends no table of unknown size by way of the driver."""
 
+from helpers import documents
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
@@ -38,3 +39,10 @@ def test_components_are_never_broadcast_and_end_when_settled(spark, monkeypatch)
     assert {r.node: r.root for r in components.smallest_reachable(chain).collect()} == {7: 3, 8: 3, 9: 3}
     assert len(plans) > 1 and not [name for name, plan in plans if "Broadcast" in plan]
     assert components.smallest_reachable(stars.limit(0)).count() == 0
+
+
+def test_texts_without_crowds_are_not_held_against_a_reference(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "apart_alike", lambda *_: 1 / 0)
+    long = " ".join(f"word{k}" for k in range(60))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, [long, long + " more", "another text", "another text"], [0, 1, 2, 3])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2}

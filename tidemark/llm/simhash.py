@@ -134,7 +134,7 @@ def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def joined_with_few(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
     """Rows joined with a table of keys, which goes to every executor if it has MOST_SENT rows at most, so that texts stay where they are; else both sides are dealt by the keys."""
-    return rows.join(F.broadcast(few) if few.count() <= MOST_SENT else few, on, how)
+    return rows.join(F.broadcast(few) if few.count() <= MOST_SENT else dealt(few), on, how)
 
 
 def distinct_texts(rows: DataFrame, width: int) -> DataFrame:
@@ -169,7 +169,7 @@ def distinct_texts(rows: DataFrame, width: int) -> DataFrame:
 
 def sets_of(nodes: DataFrame, texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """``node`` and ``shingles`` (the whole set, in order) of those texts, from the first row of each, written to the shared folder."""
-    wanted = write_table(texts.join(nodes, "node", "left_semi").select("node", F.col("copy").alias("__copy"), F.col("first.row").alias("__row")), "wanted")
+    wanted = write_table(texts.join(dealt(nodes), "node", "left_semi").select("node", F.col("copy").alias("__copy"), F.col("first.row").alias("__row")), "wanted")
     few = joined_with_few(rows.select("__copy", "__row", "__text"), wanted, ["__copy", "__row"], "inner").dropDuplicates(["node"])
     sets = write_table(map_texts(few, lambda: lambda x: [[shingle_set(t, width) for t in x]], [("shingles", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], "__text", ("node",)), "sets")
     drop_table(wanted)
@@ -187,10 +187,10 @@ def prefixes(texts: DataFrame, rows: DataFrame, width: int, at_least: float, buc
     length = (F.col("size") - F.ceil(at_least * F.col("size") - SLACK) + 1).cast("int")
     last = F.coalesce("late.shingle", F.array().cast("array<long>"))
     own = F.slice(F.array_except("lead", last), F.lit(1), length)
-    made = write_table(texts.where("size > 0").select("node", "size", "lead").join(late(lead), "node", "left").select("node", "size", own.alias("prefix"), (F.size(own) < length).alias("short")), "prefixes")
+    made = write_table(texts.where("size > 0").select("node", "size", "lead").join(dealt(late(lead)), "node", "left").select("node", "size", own.alias("prefix"), (F.size(own) < length).alias("short")), "prefixes")
     short = made.where("short").select("node", "size")
     sets = sets_of(short, texts, rows, width)
-    whole = sets.join(short, "node").join(late(sets.select("node", F.explode("shingles").alias("shingle"))), "node", "left")
+    whole = sets.join(dealt(short), "node").join(dealt(late(sets.select("node", F.explode("shingles").alias("shingle")))), "node", "left")
     ordered = F.concat(F.array_except("shingles", last), last)
     return made.where("not short").select("node", "size", "prefix").unionByName(whole.select("node", "size", F.slice(ordered, F.lit(1), length).alias("prefix")))
 
@@ -199,11 +199,11 @@ def alike(pairs: DataFrame, texts: DataFrame, rows: DataFrame, width: int, at_le
     """Those of ``pairs`` (a, b; nodes of ``texts``) whose whole sets of shingles have a likeness of ``at_least``, written to the shared folder. Two sets have no more in common than the sum over classes of hashes of the lesser count: pairs that cannot be alike by that go first."""
     of = lambda name: texts.select(F.col("node").alias(name), F.struct("size", "counts").alias(f"of_{name}"))
     most = F.coalesce(F.aggregate(F.zip_with("of_a.counts", "of_b.counts", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x), F.least("of_a.size", "of_b.size"))
-    bounded = pairs.distinct().join(of("a"), "a").join(of("b"), "b").withColumn("most", most)
+    bounded = pairs.distinct().join(dealt(of("a")), "a").join(dealt(of("b")), "b").withColumn("most", most)
     pairs = write_table(bounded.where(F.col("most") >= at_least * (F.col("of_a.size") + F.col("of_b.size") - F.col("most")) - SLACK).select("a", "b"), "pairs")
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, rows, width)
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"of_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
+    both = pairs.join(dealt(side("a")), "a").join(dealt(side("b")), "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
     links = write_table(both.where(F.col("shared") >= at_least * (F.size("of_a") + F.size("of_b") - F.col("shared")) - SLACK).select("a", "b"), "links")
     for done in (pairs, sets):
         drop_table(done)
@@ -219,20 +219,20 @@ def apart_alike(members: DataFrame, texts: DataFrame, rows: DataFrame, width: in
     sets = sets_of(members.select(F.explode(F.array("node", "ref")).alias("node")).distinct(), texts, rows, width)
     of_ref = sets.select(F.col("node").alias("ref"), F.col("shingles").alias("of_ref"))
     apart = F.concat(F.array_except("shingles", "of_ref"), F.array_except("of_ref", "shingles"))
-    held = members.join(sets, "node").join(of_ref, "ref").select("ref", "node", "own", "ref_own", F.size("shingles").alias("size"), F.size("of_ref").alias("ref_size"), apart.alias("apart"))
+    held = members.join(dealt(sets), "node").join(dealt(of_ref), "ref").select("ref", "node", "own", "ref_own", F.size("shingles").alias("size"), F.size("of_ref").alias("ref_size"), apart.alias("apart"))
     held = write_table(held.withColumn("gap", F.size("apart")).withColumn("far", F.col("gap") > share * (F.col("size") + F.col("ref_size")) + SLACK), "apart")
     least = F.greatest(F.lit(1), F.ceil((F.col("gap") - share * F.when(F.col("far"), F.col("size") + F.col("ref_size")).otherwise(F.col("size") - F.col("ref_size"))) / 2 - SLACK))
 
     parts = held.select("ref", "node", F.explode("apart").alias("shingle"))
     often = parts.groupBy("ref", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    late = parts.join(often, ["ref", "shingle"]).groupBy("ref", "node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("late"))
-    placed = held.join(late, ["ref", "node"]).withColumn("first", F.col("gap") - F.size("late"))
+    late = parts.join(dealt(often), ["ref", "shingle"]).groupBy("ref", "node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("late"))
+    placed = held.join(dealt(late), ["ref", "node"]).withColumn("first", F.col("gap") - F.size("late"))
     prefix = F.slice("late.shingle", F.lit(1), F.greatest(F.col("gap") - least + 1 - F.col("first"), F.lit(0)).cast("int"))
     index = write_table(placed.select("ref", "node", "own", "size", "gap", "far", "first", F.posexplode(prefix).alias("at", "shingle")).withColumn("pos", F.col("first") + F.col("at")).drop("first", "at"), "index")
     other = index.select("ref", "shingle", *(F.col(c).alias(f"other_{c}") for c in ("node", "own", "size", "gap", "far", "pos")))
     needed = F.greatest(F.lit(1), (F.col("gap") + F.col("other_gap") - share * (F.col("size") + F.col("other_size"))) / 2 - SLACK)
     fits = F.least(F.col("gap") - F.col("pos"), F.col("other_gap") - F.col("other_pos")) >= needed
-    met = index.join(other, ["ref", "shingle"]).where((F.col("node") < F.col("other_node")) & (F.col("own") != F.col("other_own")) & (F.col("far") | F.col("other_far")) & fits)
+    met = index.join(dealt(other), ["ref", "shingle"]).where((F.col("node") < F.col("other_node")) & (F.col("own") != F.col("other_own")) & (F.col("far") | F.col("other_far")) & fits)
     beside = held.where("not far and own <> ref_own").select(F.least("ref", "node").alias("a"), F.greatest("ref", "node").alias("b"))
     pairs = write_table(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")).unionByName(beside).distinct(), "pairs")
     for done in (sets, held, index):
@@ -247,17 +247,17 @@ def alike_links(texts: DataFrame, rows: DataFrame, width: int = 5, at_least: flo
     """
     worded = texts.where("size > 0")
     reps = write_table(worded.groupBy("simhash").agg(F.min("node").alias("rep")), "values")
-    same = worded.join(reps, "simhash").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    same = worded.join(dealt(reps), "simhash").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     found = alike(same.unionByName(links(reps)), texts, rows, width, at_least)
     roots = smallest_reachable(found)
 
     index = write_table(prefixes(texts, rows, width, at_least, bucket).select("node", "size", F.posexplode("prefix").alias("pos", "shingle")), "index")
     counts = index.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     before = F.lag("shingle").over(Window.partitionBy("node").orderBy("pos"))
-    shared = write_table(index.join(counts, "shingle").withColumn("before", before), "shared")
+    shared = write_table(index.join(dealt(counts), "shingle").withColumn("before", before), "shared")
     first = shared.groupBy("shingle").agg((F.count("before") == F.count(F.lit(1))).alias("all"), F.min("before").alias("low"), F.max("before").alias("high")).where("not all or low <> high").select("shingle")
     named = roots.withColumnRenamed("root", "own")
-    members = write_table(shared.drop("before").join(first, "shingle").join(named, "node", "left").withColumn("own", F.coalesce("own", "node")), "members")
+    members = write_table(shared.drop("before").join(dealt(first), "shingle").join(dealt(named), "node", "left").withColumn("own", F.coalesce("own", "node")), "members")
     drop_table(shared)
     share = at_least / (1 + at_least)
 
@@ -267,26 +267,27 @@ def alike_links(texts: DataFrame, rows: DataFrame, width: int = 5, at_least: flo
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     few = members.where(F.col("n") <= bucket).select("shingle", "node", "size", "pos", "own")
     others = few.select("shingle", *(F.col(c).alias(f"other_{c}") for c in few.columns if c != "shingle"))
-    near = few.join(others, "shingle").where((F.col("node") < F.col("other_node")) & (F.col("own") != F.col("other_own")) & fits("", "other_")).select(*pair("node", "other_node"))
+    near = few.join(dealt(others), "shingle").where((F.col("node") < F.col("other_node")) & (F.col("own") != F.col("other_own")) & fits("", "other_")).select(*pair("node", "other_node"))
     many = members.where(F.col("n") > bucket).select("shingle", "node", "size", "pos", "own")
     centres = many.groupBy("shingle").agg(F.min(F.struct("pos", "node", "size", "own")).alias("c")).select("shingle", *(F.col(f"c.{c}").alias(f"other_{c}") for c in ("pos", "node", "size", "own")))
-    centred = write_table(many.join(centres, "shingle"), "crowd")
+    centred = write_table(many.join(dealt(centres), "shingle"), "crowd")
     around = centred.where((F.col("own") != F.col("other_own")) & fits("", "other_")).select(*pair("node", "other_node"))
     found = write_table(found.unionByName(alike(near.unionByName(around), texts, rows, width, at_least)), "links")
     for done in (members, index):
         drop_table(done)
 
     again = smallest_reachable(found)
-    crowd = centred.select("shingle", "node").join(again.withColumnRenamed("root", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    crowd = centred.select("shingle", "node").join(dealt(again.withColumnRenamed("root", "own")), "node", "left").withColumn("own", F.coalesce("own", "node"))
     mixed = crowd.groupBy("shingle").agg((F.min("own") != F.max("own")).alias("mixed")).where("mixed").select("shingle")
-    crowd = write_table(crowd.join(mixed, "shingle"), "crowd")
+    crowd = write_table(crowd.join(dealt(mixed), "shingle"), "crowd")
     times = crowd.groupBy("node").agg(F.count(F.lit(1)).alias("times"))
-    refs = crowd.join(times, "node").groupBy("shingle").agg(F.max(F.struct("times", (-F.col("node")).alias("least"), "own")).alias("r")).select("shingle", (-F.col("r.least")).alias("ref"), F.col("r.own").alias("ref_own"))
-    members = write_table(crowd.join(refs, "shingle").select("ref", "node", "own", "ref_own").distinct(), "members")
-    links_left = alike(apart_alike(members, texts, rows, width, at_least), texts, rows, width, at_least)
+    refs = crowd.join(dealt(times), "node").groupBy("shingle").agg(F.max(F.struct("times", (-F.col("node")).alias("least"), "own")).alias("r")).select("shingle", (-F.col("r.least")).alias("ref"), F.col("r.own").alias("ref_own"))
+    members = write_table(crowd.join(dealt(refs), "shingle").select("ref", "node", "own", "ref_own").distinct(), "members")
+    if not members.isEmpty():
+        found = found.unionByName(alike(apart_alike(members, texts, rows, width, at_least), texts, rows, width, at_least))
     for done in (centred, crowd, members):
         drop_table(done)
-    return found.unionByName(links_left)
+    return found
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8) -> DataFrame:
@@ -297,7 +298,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = distinct_texts(rows, width)
     roots = smallest_reachable(alike_links(texts, rows, width, at_least))
     root = F.when(F.col("size") == 0, F.lit(-1)).otherwise(F.coalesce("root", "node"))
-    return write_table(texts.select("node", "copy", "first", "size").join(roots, "node", "left").select("copy", "first", root.alias("root")), "classes")
+    return write_table(texts.select("node", "copy", "first", "size").join(dealt(roots), "node", "left").select("copy", "first", root.alias("root")), "classes")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8) -> DataFrame:
@@ -309,7 +310,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     classes = near_classes(named, "id")
     least = classes.groupBy("root").agg(F.min("first.id").alias("component_id"))
     copies = keyed(named).select("id", F.col("__copy").alias("copy"))
-    return copies.join(classes.join(least, "root").select("copy", "component_id"), "copy").select(F.col("id").alias(id_col), "component_id")
+    return copies.join(dealt(classes.join(dealt(least), "root").select("copy", "component_id")), "copy").select(F.col("id").alias(id_col), "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: float = 0.8) -> DataFrame:
@@ -317,7 +318,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     rows = keyed(df, text_col)
     best = near_classes(df, id_col, text_col, width, at_least).groupBy("root").agg(F.min(F.struct("first", "copy")).alias("best"))
     kept = best.select(F.col("best.copy").alias("__copy"), F.col("best.first.row").alias("__row"), F.lit(True).alias("kept"))
-    keys = rows.groupBy("__copy", "__row").agg(F.count(F.lit(1)).alias("n")).join(kept, ["__copy", "__row"], "left")
+    keys = rows.groupBy("__copy", "__row").agg(F.count(F.lit(1)).alias("n")).join(dealt(kept), ["__copy", "__row"], "left")
     gone = write_table(keys.where("kept is null or n > 1"), "gone")
     single = joined_with_few(rows, gone.select("__copy", "__row"), ["__copy", "__row"], "left_anti")
     equal = joined_with_few(rows, gone.where("kept").select("__copy", "__row"), ["__copy", "__row"], "left_semi").dropDuplicates(["__copy", "__row"])
