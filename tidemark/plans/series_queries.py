@@ -215,4 +215,4 @@ _PAIRS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ROUND(corr({a}, {b}), 4) AS correlation FROM lineitem" for i, a in enumerate(_PAIRS) for b in _PAIRS[i + 1 :]) + ") ORDER BY abs(correlation) DESC, a, b LIMIT 1")
 def correlated_pairs(spark, sf_dir):
-    return evaluate.correlated_pairs(table(spark, sf_dir, "lineitem"), _PAIRS, 1).withColumn("correlation", F.round("correlation", 4))
+    return evaluate.correlated_pairs(table(spark, sf_dir, "lineitem"), _PAIRS, 1, 4)
